@@ -15,6 +15,7 @@ vectors link to each other; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import table, written
 from folio.llm.components import components
-from folio.llm.simhash import local_roots
+from folio.llm.simhash import cut, local_roots
 
 #: Points of a block; a task holds two blocks.
-BLOCK = 4096
+BLOCK = 8192
 SLACK = 1e-7
 
 
@@ -103,8 +104,6 @@ def dual(a: CoverTree, b: CoverTree, chord: float, cosine: float, same: bool, ch
             na = ba[i + 1] - ba[i] if down_a else np.ones(len(i), np.int64)
             nb = bb[j + 1] - bb[j] if ob is not None else np.ones(len(j), np.int64)
             sizes = na * nb
-            from folio.llm.simhash import cut
-
             for s, e in cut(sizes, chunk):
                 rep = np.repeat(np.arange(s, e), sizes[s:e])
                 within = np.arange(len(rep)) - np.repeat(np.cumsum(sizes[s:e]) - sizes[s:e], sizes[s:e])
@@ -130,58 +129,80 @@ def unit_points(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull())
 
 
+def built(points: DataFrame, blocks: int, cosine: float) -> DataFrame:
+    """block int, trees binary: the pickled cover trees (one for each vector length) of a block's points."""
+    own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+    rows = points.select(own.alias("block"), "rep", "n", "v").repartition("block").sortWithinPartitions("block", "rep")
+    least = math.sqrt(max(0.0, 2 - 2 * cosine)) / 8
+
+    def trees(block, held):
+        made = {}
+        for dim, group in held.items():
+            x = np.concatenate(group[2]).reshape(-1, dim)
+            x = x / np.abs(x).max(1, keepdims=True)
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            made[dim] = (np.concatenate(group[0]), np.concatenate(group[1]), CoverTree(x, least))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pickle.dumps(made, 5)], pa.binary())], names=["block", "trees"])
+
+    def run(batches):
+        held, last = {}, None
+        for b in batches:
+            block, sizes = b.column(0).to_numpy(), b.column(3).value_lengths().to_numpy()
+            starts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1] if b.num_rows else []
+            for s, e in zip(starts, [*starts[1:], b.num_rows]):
+                if last is not None and block[s] != last:
+                    yield trees(last, held)
+                    held = {}
+                last = block[s]
+                for dim in np.unique(sizes[s:e]).tolist():
+                    part = b.slice(s, e - s).filter(pa.array(sizes[s:e] == dim))
+                    for to, x in zip(held.setdefault(dim, ([], [], [])), (part.column(1), part.column(2), part.column(3).flatten())):
+                        to.append(x.to_numpy())
+        if held:
+            yield trees(last, held)
+
+    return rows.mapInArrow(run, "block int, trees binary")
+
+
 def linked(points: DataFrame, n: int, cosine: float) -> DataFrame:
     """u, v, n_links: per rep and pair of blocks the rows of other points linked, and a local class (u to v; u = v for none)."""
     blocks = max(1, -(-n // BLOCK))
     chord = math.sqrt(max(0.0, 2 - 2 * cosine))
-    own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    # the pair of blocks (a, b) is looked at once, at a task of its own; a row goes to the pairs its block is part of
-    dealt = points.select("rep", "n", "v", own.alias("own")).withColumn("other", F.explode(other)).select("rep", "n", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    pairs = dealt.repartition("a", "b").sortWithinPartitions("a", "b", "own")
+    trees = written(built(points, blocks, cosine), "vector-trees")
+    # each pair of blocks is looked at once, in a task of its own
+    dealt = trees.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "trees")
+    pairs = dealt.repartition(max(1, blocks * (blocks + 1) // 2), "a", "b").sortWithinPartitions("a", "b", "block")
+
+    def compared(blobs):
+        one, two = pickle.loads(blobs[0]), pickle.loads(blobs[-1])
+        same, made = len(blobs) == 1, []
+        for dim in sorted(one.keys() & two.keys()):
+            (ra, na, ta), (rb, nb, tb) = one[dim], two[dim]
+            shift = 0 if same else len(ra)
+            reps, ns = (ra, na) if same else (np.r_[ra, rb], np.r_[na, nb])
+            found = [(i, j + shift) for i, j in dual(ta, ta if same else tb, chord, cosine, same)]
+            counts = np.zeros(len(reps), np.int64)
+            for i, j in found:
+                np.add.at(counts, i, ns[j])
+                np.add.at(counts, j, ns[i])
+            root = local_roots(len(reps), found)
+            own = np.flatnonzero(counts)
+            made.append((reps[own], reps[root[own]], counts[own]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made]) if made else [], pa.int64()) for k in range(3)], names=["u", "v", "n_links"])
 
     def run(batches):
         held, last = [], None
-
-        def out(rows):
-            reps, ns = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            sides = np.array([r[3] for r in rows])
-            made = []
-            for dim in sorted({len(r[2]) for r in rows}):
-                at = np.array([k for k, r in enumerate(rows) if len(r[2]) == dim])
-                x = np.array([rows[k][2] for k in at], dtype=float)
-                top = np.abs(x).max(1, keepdims=True)
-                x = x / top
-                x /= np.sqrt((x * x).sum(1))[:, None]
-                counts = np.zeros(len(at), np.int64)
-                places = [np.flatnonzero(sides[at] == s) for s in sorted(set(sides[at].tolist()))]
-                block = last
-                if block[0] == block[1]:
-                    t = CoverTree(x, chord / 8)
-                    found = list(dual(t, t, chord, cosine, True))
-                elif len(places) == 2:
-                    found = [(places[0][i], places[1][j]) for i, j in dual(CoverTree(x[places[0]], chord / 8), CoverTree(x[places[1]], chord / 8), chord, cosine, False)]
-                else:
-                    found = []
-                for i, j in found:
-                    np.add.at(counts, i, ns[at][j])
-                    np.add.at(counts, j, ns[at][i])
-                root = local_roots(len(at), found)
-                own_ = np.flatnonzero(counts > 0)
-                made.append((reps[at][own_], reps[at][root[own_]], counts[own_]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made]), pa.int64()) for k in range(3)], names=["u", "v", "n_links"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is not None and (row[4], row[5]) != last:
-                    yield out(held)
+        for b in batches:
+            for x, y, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if last is not None and (x, y) != last:
+                    yield from [compared(held)] if len(held) == 1 + (last[0] != last[1]) else []
                     held = []
-                last = (row[4], row[5])
-                held.append(row[:4])
-        if held:
-            yield out(held)
+                last = (x, y)
+                held.append(blob.as_py())
+        if held and len(held) == 1 + (last[0] != last[1]):
+            yield compared(held)
 
-    return pairs.select("rep", "n", "v", "own", "a", "b").mapInArrow(run, "u long, v long, n_links long")
+    return pairs.select("a", "b", "trees").mapInArrow(run, "u long, v long, n_links long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
