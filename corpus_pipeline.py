@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.llm.bpe import vocabulary
 from folio.llm.common import table, written
 from folio.llm.packing import packed
+from folio.llm.pii import without_pii
 from folio.llm.quality import quality_scores
 from folio.llm.simhash import simhash_classes
 from folio.llm.toxicity import toxicity_scores
@@ -37,12 +38,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return chosen(docs, simhash_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that reveal it generalised."""
+    return without_pii(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boundary records of the packed sequences."""
     return packed(docs, vocabulary())
 
 
-STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("pii", pii), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

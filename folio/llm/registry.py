@@ -4,7 +4,9 @@ import corpus_pipeline
 from folio.llm.bpe import op4_bpe
 from folio.llm.covertree import op3_embeddings
 from folio.llm.merkle import op8_merkle
+from folio.llm.lm import op1_lm
 from folio.llm.packing import op10_packing
+from folio.llm.pii import op2_pii
 from folio.llm.quality import op7_quality
 from folio.llm.simhash import op9_simhash
 from folio.llm.toxicity import op6_toxicity
@@ -25,6 +27,8 @@ def warc_query(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm": op1_lm,
+    "op2_pii": op2_pii,
     "op3_embeddings": op3_embeddings,
     "op4_bpe": op4_bpe,
     "op5_warc": warc_query,
