@@ -31,6 +31,7 @@ STRETCHED = r"[a-z]*([a-z])\1\1[a-z]*"
 SPACED = r"(?<![^\W_])(?:[a-z0-9@$!|+(](?:[ ._*\-]{1,2})){3,}[a-z0-9@$!|+(](?![^\W_])"
 DISGUISED = re.compile(f"{SPACED}|{MIXED}|{STRETCHED}")
 SEPARATORS = re.compile(r"[ ._*\-]+")
+STRETCH = re.compile(r"(.)\1{2,}")
 
 
 class CharModel:
@@ -42,9 +43,9 @@ class CharModel:
 
     def restore(self, token: str) -> str:
         """The likeliest letters. Costs: a sign dropped 4, a sign read as a letter 0.5, a repeated letter kept 1 and merged 0.3."""
-        best: dict[int, tuple[float, str]] = {26: (0.0, "")}
-        for ch in SEPARATORS.sub("", token):
-            after: dict[int, tuple[float, str]] = {}
+        best: dict[int, tuple[float, tuple]] = {26: (0.0, ())}  # letters are linked lists, so long tokens cost no copies
+        for ch in STRETCH.sub(r"\1\1", SEPARATORS.sub("", token)):
+            after: dict[int, tuple[float, tuple]] = {}
 
             def offer(state, cost, text, after=after):
                 if state not in after or cost > after[state][0]:
@@ -55,16 +56,21 @@ class CharModel:
                     k = CODE[ch]
                     if k == last:
                         offer(last, cost - 0.3, text)
-                    offer(k, cost + self.log[last][k] - (1.0 if k == last else 0), text + ch)
+                    offer(k, cost + self.log[last][k] - (1.0 if k == last else 0), (text, ch))
                 else:
                     for letter in SIGNS.get(ch, ""):
                         k = CODE[letter]
                         if k == last:
                             offer(last, cost - 0.8, text)
-                        offer(k, cost + self.log[last][k] - 0.5, text + letter)
+                        offer(k, cost + self.log[last][k] - 0.5, (text, letter))
                     offer(last, cost - 4.0, text)
             best = after
-        return max((cost + self.log[s][26], text) for s, (cost, text) in best.items())[1] if best else ""
+        _, text = max(((cost + self.log[s][26], text) for s, (cost, text) in best.items()), key=lambda x: x[0])
+        out = []
+        while text:
+            text, ch = text
+            out.append(ch)
+        return "".join(reversed(out))
 
 
 def terms(text: str | None, model: CharModel) -> tuple[set[str], int]:
@@ -72,12 +78,11 @@ def terms(text: str | None, model: CharModel) -> tuple[set[str], int]:
     low = (text or "").lower()
     found, n = set(WORD.findall(low)), 0
     for m in DISGUISED.finditer(low):
-        if len(m[0]) <= 60:
-            word = model.restore(m[0])
-            if len(word) > 2:
-                found.add(word)
-                found.add(collapsed(word))
-                n += 1
+        word = model.restore(m[0])
+        if len(word) > 2:
+            found.add(word)
+            found.add(collapsed(word))
+            n += 1
     return found, n
 
 
