@@ -24,10 +24,23 @@ def without_reasoning(c: Column) -> Column:
     return F.trim(c)
 
 
+#: What a text must hold to count as each kind, in Java's dialect.
+CODE_BLOCK = "(?dm)^```(?s:.*?)^```$"
+TABLE_LINE = r"(?dm)^\|.*\|.*$"
+LIST_LINE = r"(?dm)^[ \t\r\f]*(?:[-*+]|\d+\.)[ \t\r\f]"
+MATH = r"\$\$(?s:.*?)\$\$|\$[^$\n]+\$"
+
+
 def content_type(c: Column) -> Column:
-    """code, table, list, math or plain, the first that holds."""
+    """code_block, table (two lines of it at least), list (two items), math or plain_text, the first that holds."""
     count = lambda p: F.regexp_count(c, F.lit(p))
-    return F.when(F.contains(c, F.lit("```")), "code").when(count(r"(?m)^\s*\|.*\|") >= 2, "table").when(count(r"(?m)^\s*(?:[-*+]|\d+\.)\s") >= 2, "list").when(F.contains(c, F.lit("$")), "math").otherwise("plain")
+    return F.when(c.rlike(CODE_BLOCK), "code_block").when(count(TABLE_LINE) >= 2, "table").when(count(LIST_LINE) >= 2, "list").when(c.rlike(MATH), "math").otherwise("plain_text")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """1 less the edit distance over the longer length in characters; two empty texts are equal."""
+    most = F.greatest(F.char_length(a), F.char_length(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b).cast("double") / most)
 
 
 def truncated(c: Column, n: int) -> Column:

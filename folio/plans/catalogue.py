@@ -99,8 +99,8 @@ def should_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.char_length("text") > 1500).alias("should_split"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(text, '```') THEN 'code' WHEN len(regexp_extract_all(text, '(?m)^\\s*\\|.*\\|')) >= 2 THEN 'table'
-WHEN len(regexp_extract_all(text, '(?m)^\\s*(?:[-*+]|\\d+\\.)\\s')) >= 2 THEN 'list' WHEN contains(text, '$') THEN 'math' ELSE 'plain' END AS kind FROM documents""")
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^```(?s:.*?)^```$') THEN 'code_block' WHEN len(regexp_extract_all(text, '(?m)^\\|.*\\|.*$')) >= 2 THEN 'table'
+WHEN len(regexp_extract_all(text, '(?m)^[ \\t\\r\\f]*(?:[-*+]|\\d+\\.)[ \\t\\r\\f]')) >= 2 THEN 'list' WHEN regexp_matches(text, '\\$\\$(?s:.*?)\\$\\$|\\$[^$\\n]+\\$') THEN 'math' ELSE 'plain_text' END AS kind FROM documents""")
 def content_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.content_type(F.col("text")).alias("kind"))
 

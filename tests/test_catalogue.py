@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from folio.plans import catalogue
+from folio.plans import catalogue, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
