@@ -26,12 +26,12 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     Empty input gives no rows. Each round is written to the shared folder, so lineage stays short.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
-    mark = None
+    mark, wide = None, "decimal(38,0)"  # sums of node numbers may pass 64 bits
     while True:
         after = written(_stars(_stars(now, True), False), label)
         dropped(now)
         # the smallest stars change no more: same rows, same sum of both ends
-        fresh = tuple(after.agg(F.count(F.lit(1)), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        fresh = tuple(after.agg(F.count(F.lit(1)), F.sum(F.col("u").cast(wide)), F.sum(F.col("v").cast(wide)), F.sum(F.xxhash64("u", "v").cast(wide))).first())
         now = after
         if fresh == mark:
             break
