@@ -70,14 +70,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def contexts(text: str) -> list[tuple[int, int, list[str]]]:
-    """Hash of the entity, hash of its context, and the terms around it, for each base span."""
-    out = []
+def contexts(text: str) -> list[tuple[int, int, list[str], list[int]]]:
+    """Hash of the entity, hash of its context, the terms around it, and 1 for each that no earlier span of the entity has counted, for each base span."""
+    out, counted = [], set()
     for kind, start, end in base_spans(text):
-        before = [m[0].lower() for m in TERM.finditer(text, max(0, start - 40 * WINDOW), start)][-WINDOW:]
-        after = [m[0].lower() for m in TERM.finditer(text, end, end + 40 * WINDOW)][:WINDOW]
+        marks = [*list(TERM.finditer(text, max(0, start - 40 * WINDOW), start))[-WINDOW:], None, *list(TERM.finditer(text, end, end + 40 * WINDOW))[:WINDOW]]
+        at = marks.index(None)
+        before, after = [m[0].lower() for m in marks[:at]], [m[0].lower() for m in marks[at + 1 :]]
         entity = text[start:end].lower() if kind != "card" else DIGITS.sub("", text[start:end])
-        out.append((key(f"{kind}:{entity}"), key(" ".join(before) + "|" + " ".join(after)), before + after))
+        who, fresh = key(f"{kind}:{entity}"), []
+        for m in filter(None, marks):
+            fresh.append(int((who, m.end()) not in counted))
+            counted.add((who, m.end()))
+        out.append((who, key(" ".join(before) + "|" + " ".join(after)), before + after, fresh))
     return out
 
 
@@ -89,16 +94,17 @@ def revealing_terms(docs: DataFrame) -> set[str]:
     """The terms over the disclosure threshold, by counts over all documents."""
 
     def near(cols):
-        out = [[], [], []]
+        out = [[], [], [], []]
         for t in cols[0]:
-            for entity, context, words in contexts(t or ""):
-                for w in words:
+            for entity, context, words, fresh in contexts(t or ""):
+                for w, f in zip(words, fresh):
                     out[0].append(entity)
                     out[1].append(w)
                     out[2].append(context)
+                    out[3].append(f)
         return out
 
-    pairs = arrow_map(docs.select("text"), "entity long, term string, context long", near).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("times"))
+    pairs = arrow_map(docs.select("text"), "entity long, term string, context long, fresh int", near).groupBy("entity", "term", "context").agg(F.sum("fresh").alias("times"))
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("times").alias("n")).where(F.col("contexts") >= LEAST)
     strong = written(both.groupBy("term").agg(F.max("n").alias("n")), "pii-terms")
     rows = {r.term: r.n for r in strong.select("term", "n").toLocalIterator()}
@@ -110,7 +116,7 @@ def revealing_terms(docs: DataFrame) -> set[str]:
             total: Counter = Counter()
             for b in batches:
                 for t in b.column(0):
-                    total.update(part.intersection(map(str.lower, TERM.findall(t.as_py() or ""))))
+                    total.update(w for w in map(str.lower, TERM.findall(t.as_py() or "")) if w in part)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
         totals = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))

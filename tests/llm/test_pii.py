@@ -39,3 +39,13 @@ def test_terms_that_reveal(spark):
     clean = {r.doc_id: r.text for r in pii.without_pii(docs.select("doc_id", "text", docs.spans.alias("n_chars"))).collect()}
     assert "a@b.org" not in clean[0] and "[EMAIL]" in clean[0] and "Zorbax" not in clean[0]
     assert pii.pii_spans(docs.limit(0)).count() == 0
+
+
+def test_disclosure_is_a_share_of_occurrences(spark):
+    made = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(5))
+    listed = " . ".join(f"{made(k)} {made(k + 5000)} kontakt a@b.org {made(k + 9000)} {made(k + 14000)}" for k in range(30))
+    docs = [listed, *["kontakt und " * 20] * 25]  # 30 of 530 occurrences are by the address
+    assert "kontakt" not in pii.revealing_terms(spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string"))
+    # an occurrence between two mentions of an address is one: 12 of 26
+    near = [f"{made(k)} a@b.org zentrale a@b.org {made(k + 5000)}" for k in range(12)] + ["zentrale " * 14]
+    assert "zentrale" not in pii.revealing_terms(spark.createDataFrame([(i, t) for i, t in enumerate(near)], "doc_id long, text string"))
