@@ -4,7 +4,7 @@ log P(word | past) = log P(class | state) + log P(word | class). A word's class
 (the most frequent endings of the corpus have classes of their own, the others share one, the end of a
 text has one). Within a class words follow add-one counts of all training tokens. The classes are
 predicted by a gated recurrent unit. Each partition trains a replica by truncated backpropagation on
-its share of the training documents, and replicas are averaged by tokens, so what is learned grows
+all tokens of its training documents, and replicas are averaged by tokens, so what is learned grows
 with the corpus. Scoring carries the state across windows: a document's likelihood is that of the whole.
 
 Counts of the most frequent words travel with the tasks (FREQUENT entries at most); every other word
@@ -29,8 +29,8 @@ from folio.llm.common import arrow_map, flat_sum, held_out, table, written
 #: Parameters of the model.
 ENDINGS, HIDDEN, FREQUENT = 46, 16, 150_000
 CLASSES = ENDINGS + 2
-#: The share of each partition's training tokens that backpropagation sees (a rate, so it grows with the corpus), steps of a window, and streams trained side by side.
-SHARE, WINDOW, STREAMS = 1 / 24, 20, 32
+#: Steps of a window, and streams trained side by side at most.
+WINDOW, STREAMS = 20, 256
 END = b""
 
 
@@ -87,12 +87,13 @@ class Gru:
 
     def train(self, stream: np.ndarray, rate: float = 0.01) -> None:
         """Truncated backpropagation over windows of parallel streams, by Adam. stream: classes of documents in a row."""
-        width = min(STREAMS, max(1, len(stream) // (2 * WINDOW)))
-        x = stream[: len(stream) // width * width].reshape(width, -1).T
+        width = min(STREAMS, max(1, len(stream) // (40 * WINDOW)))
+        # the last stream is filled up from the start, so no token is left out
+        x = np.concatenate([stream, stream[: -len(stream) % width]]).reshape(width, -1).T
         h = np.zeros((width, HIDDEN), np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step, t in enumerate(range(0, len(x) - 1, WINDOW), 1):
+        for step, t in enumerate(range(0, len(x), WINDOW), 1):
             part = x[t : t + WINDOW]
             grads, h = self.gradient(h, part)
             for k, g in grads.items():
@@ -113,18 +114,20 @@ class Gru:
         grads["d"] = da.sum((0, 1))
         dout = da @ p["o"].T
         dh = np.zeros_like(h)
+        all_both = np.empty((*x.shape, 3 * n), h.dtype)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, g = keep[t]
             dg = dh * z * (1 - g * g)
             drh = dg @ p["u"][:, 2 * n :].T
             dz, dr = dh * (g - before) * z * (1 - z), drh * before * r * (1 - r)
             dzr = np.hstack([dz, dr])
-            both = np.hstack([dzr, dg])
-            np.add.at(grads["w"], x[t], both)
-            grads["b"] += both.sum(0)
+            all_both[t, :, : 2 * n], all_both[t, :, 2 * n :] = dzr, dg
             grads["u"][:, : 2 * n] += before.T @ dzr
             grads["u"][:, 2 * n :] += (r * before).T @ dg
             dh = dh * (1 - z) + drh * r + dzr @ p["u"][:, : 2 * n].T + dout[t]
+        flat = all_both.reshape(-1, 3 * n)
+        grads["w"] += np.eye(CLASSES, dtype=h.dtype)[x.ravel()].T @ flat
+        grads["b"] += flat.sum(0)
         return grads, last
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -181,6 +184,12 @@ class Classes:
         return self.of.get(word[-2:], ENDINGS) if word else ENDINGS + 1
 
 
+def stream_of(batches, classes: Classes) -> np.ndarray:
+    """The classes of all tokens of the batches' texts in a row."""
+    parts = [np.array([classes(w) for w in tokens(t.as_py())], np.int16) for b in batches for t in b.column(0)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int16)
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -202,16 +211,8 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
     gru = Gru(np.log((n_k + 1) / (n_k + 1).sum()))
 
     def fit(batches):
-        parts, seen, taken = [], 0, 0
-        for b in batches:
-            for t in b.column(0):
-                text = t.as_py() or ""
-                seen += len(text)
-                if taken <= seen * SHARE:  # documents are taken whole while their share is not reached
-                    taken += len(text)
-                    parts.append(np.array([classes(w) for w in tokens(text)], np.int16))
-        stream = np.concatenate(parts) if parts else np.zeros(0, np.int16)
-        if len(stream) > 2 * WINDOW:
+        stream = stream_of(batches, classes)
+        if len(stream):
             gru.train(stream.astype(np.int64))
             flat = np.r_[gru.flat() * len(stream), len(stream)]
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["part", "data"])

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from folio.llm import lm
 
@@ -46,3 +47,20 @@ def test_scores(spark, sf, monkeypatch):
         assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
     own = [r for r in out.values() if r.held_out]
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
+
+
+def test_training_sees_every_token():
+    texts = ["a long first text " * 3000, "b c", None, "d"] + ["some other words"] * 500
+    classes = lm.Classes([b"ng", b"st"])
+    stream = lm.stream_of([pa.record_batch([pa.array(texts)], ["text"])], classes)
+    assert stream.tolist() == [classes(w) for t in texts for w in lm.tokens(t)]
+    seen = Counter()
+
+    class Watched(lm.Gru):
+        def gradient(self, h, x):
+            seen.update(x.ravel().tolist())
+            return super().gradient(h, x)
+
+    Watched(np.zeros(lm.CLASSES)).train(stream.astype(np.int64))
+    want = Counter(stream.tolist())
+    assert all(seen[k] >= want[k] for k in want) and sum(seen.values()) < len(stream) + lm.STREAMS
