@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import duckdb
@@ -70,16 +71,29 @@ def test_classifiers_take_odd_rows(spark):
         assert f(docs.limit(0), labels).count() == 0
 
 
+def char_model(*words):
+    counts = np.zeros((27, 27, 27))
+    for w in words:
+        p = [26, 26, *[ord(c) - 97 for c in w], 26]
+        for x in zip(p, p[1:], p[2:]):
+            counts[x] += 50
+    return toxicity.CharModel(counts)
+
+
 def test_restores_disguised_words():
-    counts = np.zeros((27, 27))
-    for w in ["stupid", "idiot", "moron"] * 50:
-        p = 26
-        for ch in w:
-            counts[p, ord(ch) - 97] += 1
-            p = ord(ch) - 97
-        counts[p, 26] += 1
-    model = toxicity.CharModel(counts)
-    assert [model.restore(t) for t in ("1d10t", "st00pid"[:2] + "upid", "m o r o n", "stuuupid")] == ["idiot", "stupid", "moron", "stupid"]
+    model = char_model("stupid", "idiot", "moron", "bad", "hate", "the", "ass", "a", "pathetic", "is")
+    for disguise, word in {"1d10t": "idiot", "stuuupid": "stupid", "hat3": "hate", "idio7": "idiot", "a55": "ass", "$tupid,": "stupid", "b a d": "bad", "m   o r o n": "moron", "m/o/r/o/n": "moron", "m\no\nr\no\nn": "moron", "id-iot": "idiot", "a i d i o t": "idiot", "pa.the.tic": "pathetic", "i.d.i.o.t!!!": "idiot"}.items():
+        assert word in toxicity.terms(f"so {disguise} und", model, {})[0], disguise
+    for plain in ("the idiot!", "das, was (hier)", "10 20 30.5", "is it a an at", "wh### yes&&&", None, ""):
+        assert toxicity.terms(plain, model, {})[1] == 0, plain
+
+
+def test_toxicity_is_linear_in_very_long_texts():
+    model = char_model("idiot")
+    for t in ("ab" * 500_000, "." * 1_000_000, "a" + " " * 1_000_000 + "b", "x1!" * 10_000, "a " * 20_000):
+        began = time.time()
+        toxicity.terms(t, model, {})
+        assert time.time() - began < 4, t[:5]
 
 
 def test_warc_query_equals_sql(spark, sf):
