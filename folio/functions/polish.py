@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.bind import bound
+
 #: What prompts leave in answers (`\z`: the end of the text, `(?d)`: only \n ends a line).
 PROMPT_LEFTOVERS = (
     r"(?i)</?(?:translation|translate|source|target|text)>",
@@ -29,9 +31,16 @@ SPACING = (
 )
 #: Tags around reasoning, matched anywhere, in order.
 REASONING = (
-    *[(f"<{t}>", f"</{t}>") for t in ("think", "thinking", "thought", "reasoning", "reflection", "internal")],
-    *[(rf"\[{t}\]", rf"\[/{t}\]") for t in ("THINKING", "REASONING")],
-    *[(f"```{t}", "```") for t in ("thinking", "reasoning")],
+    ("<think>", "</think>"),
+    ("<thinking>", "</thinking>"),
+    ("<thought>", "</thought>"),
+    ("<reasoning>", "</reasoning>"),
+    ("<reflection>", "</reflection>"),
+    ("<internal>", "</internal>"),
+    (r"\[THINKING\]", r"\[/THINKING\]"),
+    (r"\[REASONING\]", r"\[/REASONING\]"),
+    ("```thinking", "```"),
+    ("```reasoning", "```"),
 )
 BLANK_ENDS = r"(?U)^\s+|\s+$"
 
@@ -67,8 +76,9 @@ def fields(c: Column) -> Column:
 
 def without_repeats(c: Column) -> Column:
     """Words that differ from the word before them, by single spaces."""
-    words = fields(c)
-    return F.array_join(F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, i - 1))), " ")
+    before = lambda ws: F.concat(F.array(F.lit(None).cast("string")), F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))))
+    # array_join leaves nulls out
+    return F.array_join(bound(fields(c), lambda ws: F.zip_with(ws, before(ws), lambda w, b: F.when(b.isNull() | (w != b), w))), " ")
 
 
 def proper_nouns(c: Column) -> Column:
@@ -95,8 +105,12 @@ def without_reasoning_anywhere(c: Column) -> Column:
 
 def has_reasoning(c: Column) -> Column:
     low = F.lower(c)
-    tags = [x for t in ("think", "thinking", "thought", "reasoning", "reflection", "internal") for x in (f"<{t}>", f"</{t}>")]
-    tags += [x for t in ("thinking", "reasoning") for x in (f"[{t}]", f"[/{t}]")]
+    #: Tags that count as reasoning.
+    tags = (
+        "<think>", "</think>", "<thinking>", "</thinking>", "<thought>", "</thought>",
+        "<reasoning>", "</reasoning>", "<reflection>", "</reflection>", "<internal>", "</internal>",
+        "[thinking]", "[/thinking]", "[reasoning]", "[/reasoning]",
+    )
     found = c.rlike("(?dm)^```(?:thinking|reasoning|thought|reflection|internal)")
     for t in tags:
         found = found | low.contains(t)
@@ -144,11 +158,15 @@ def formatted(c: Column, most: int = 0, tab: int = 4) -> Column:
 
 def same_places(a: Column, b: Column) -> Column:
     """The share of byte places at which two texts agree; two empty texts are equal."""
-    x, y = F.encode(a, "UTF-8"), F.encode(b, "UTF-8")
-    least, most = F.least(F.octet_length(a), F.octet_length(b)), F.greatest(F.octet_length(a), F.octet_length(b))
-    places = F.when(least > 0, F.sequence(F.lit(1), least)).otherwise(F.array().cast("array<int>"))
-    same = F.aggregate(places, F.lit(0), lambda n, i: n + (F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))).cast("int"))
-    return F.when(most == 0, F.lit(1.0)).otherwise(same.cast("double") / most)
+    both = F.struct(F.encode(a, "UTF-8").alias("x"), F.encode(b, "UTF-8").alias("y"))
+
+    def share(s: Column) -> Column:
+        least, most = F.least(F.octet_length(s["x"]), F.octet_length(s["y"])), F.greatest(F.octet_length(s["x"]), F.octet_length(s["y"]))
+        places = F.when(least > 0, F.sequence(F.lit(1), least)).otherwise(F.array().cast("array<int>"))
+        same = F.aggregate(places, F.lit(0), lambda n, i: n + (F.substring(s["x"], i, F.lit(1)) == F.substring(s["y"], i, F.lit(1))).cast("int"))
+        return F.when(most == 0, F.lit(1.0)).otherwise(same.cast("double") / most)
+
+    return bound(both, share)
 
 
 def hash31(c: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.bind import bound
+
 PREFIX, SUFFIX = "@@PRESERVE_", "@@"
 MARK = r"@@PRESERVE_\d+@@"
 
@@ -111,19 +113,41 @@ def protected(text: Column, patterns: tuple[str, ...]) -> Column:
     """struct<text string, kept array<string>>: kept holds what stood at each placeholder. A null text gives null fields."""
 
     def step(acc: Column, pattern: Column) -> Column:
-        found = F.regexp_extract_all(acc["text"], pattern, F.lit(0))
         # split() drops a leading empty part only before empty matches, and no pattern matches the empty text
-        pieces = F.transform(F.split(acc["text"], pattern, -1), lambda p, i: F.when(i < F.size(found), F.concat(p, placeholder(F.size(acc["kept"]) + i))).otherwise(p))
-        changed = F.struct(F.array_join(pieces, "").alias("text"), F.concat(acc["kept"], found).alias("kept"))
-        return F.when(F.size(found) > 0, changed).otherwise(acc)
+        cut = F.struct(F.split(acc["text"], pattern, -1).alias("pieces"), F.regexp_extract_all(acc["text"], pattern, F.lit(0)).alias("found"), F.size(acc["kept"]).alias("n"))
+
+        def joined(s: Column) -> Column:
+            marks = F.transform(s["found"], lambda _, i: placeholder(s["n"] + i))
+            text = F.array_join(F.zip_with(s["pieces"], marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+            return F.when(F.size(s["found"]) > 0, F.struct(text.alias("text"), F.concat(acc["kept"], s["found"]).alias("kept"))).otherwise(acc)
+
+        return bound(cut, joined)
 
     return F.aggregate(F.array(*[F.lit(p) for p in patterns]), F.struct(text.alias("text"), F.array().cast("array<string>").alias("kept")), step)
 
 
+#: Placeholders stand in at most so many others: there are fewer patterns in any list.
+NESTED = 48
+
+
 def restored(text: Column, kept: Column) -> Column:
-    """The text with each placeholder replaced, from the highest number down, so that nested ones come back too."""
-    numbers = F.when(F.size(kept) > 0, F.sequence(F.size(kept) - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(numbers, text, lambda t, i: F.replace(t, placeholder(i), F.get(kept, i)))
+    """The text with each placeholder replaced by what stood there, nested ones too; unknown numbers stay.
+
+    Each level of nesting splits the text at its marks once, so the time is linear in the text and not in text times marks.
+    """
+
+    def level(held: Column):
+        def step(t: Column, _: Column) -> Column:
+            cut = F.struct(F.split(t, MARK, -1).alias("pieces"), F.regexp_extract_all(t, F.lit(MARK), F.lit(0)).alias("marks"))
+            number = lambda m: F.regexp_extract(m, r"\d+", 0).try_cast("int")
+            original = lambda m: F.coalesce(F.get(held, number(m)), m)
+            joined = lambda s: F.array_join(F.zip_with(s["pieces"], s["marks"], lambda p, m: F.concat(p, F.coalesce(original(m), F.lit("")))), "")
+            return F.when(t.contains(PREFIX), bound(cut, joined)).otherwise(t)
+
+        return step
+
+    levels = F.sequence(F.lit(1), F.lit(NESTED))
+    return bound(kept, lambda held: F.when(F.size(held) > 0, F.aggregate(levels, text, level(held))).otherwise(text))
 
 
 def without_marks(text: Column) -> Column:

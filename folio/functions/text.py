@@ -47,16 +47,6 @@ def truncated(c: Column, n: int) -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
 
 
-def shown_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(F.floor(n * 10 / 1024).cast("string"), F.lit(" dKB"))).otherwise(F.concat(F.floor(n * 10 / 1024**2).cast("string"), F.lit(" dMB")))
-
-
-def han_spacing(c: Column) -> Column:
-    """A space between a Han letter and a Latin letter or digit, either way."""
-    c = F.regexp_replace(c, r"(\p{IsHan})([A-Za-z0-9])", "$1 $2")
-    return F.regexp_replace(c, r"([A-Za-z0-9])(\p{IsHan})", "$1 $2")
-
-
 def error_class(c: Column) -> Column:
     low = F.lower(c)
     has = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in words], F.lit(False))
