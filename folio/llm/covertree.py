@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import table, written
-from folio.llm.components import components
+from folio.llm.components import Classes, components
 
 #: Points of a block and of a tile; a task holds the trees of two blocks.
 BLOCK, LEAF = 8192, 512
@@ -193,27 +193,6 @@ def near(a: Points, b: Points, pairs: list[tuple[int, int]], chord: float) -> li
     return [p for p, keep in zip(pairs, live.tolist()) if keep]
 
 
-class Classes:
-    """Smallest place reachable, by links that come in parts."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        root = self.root
-        while len(i):
-            a, b = root[i], root[j]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            apart = lo != hi
-            if not apart.any():
-                break
-            i, j = i[apart], j[apart]
-            np.minimum.at(root, hi[apart], lo[apart])
-            while (root[root] != root).any():
-                root = root[root]
-        self.root = root
-
-
 def compared(a: Points, b: Points, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """u, v, n: for each point with a link between a and b the rows linked, and a local class (u to v)."""
     same, chord = a is b, math.sqrt(max(0.0, 2 - 2 * cosine))

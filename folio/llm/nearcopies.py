@@ -4,7 +4,8 @@ Two texts are linked when the sets of their SHINGLE-word shingles have Jaccard s
 SIMILARITY. Sets in one order of all shingles that are that similar share a shingle among their first
 n - ceil(SIMILARITY n) + 1 (prefix filter), so pairs that meet under such a key are all that can be linked.
 Any order gives the same links; shingles found often go last, so that few sets meet without being
-similar. Each pair that meets is confirmed by its whole sets, unless both are already in one class.
+similar. Each pair that meets is confirmed by its whole sets, unless both are already in one class. Pairs
+found before by other means (simhash.py) are looked at first.
 
 Defined results: a text of up to SHINGLE words is one shingle; a null, empty or blank text has none and
 is a copy of any other such text; words are ASCII-lowered and cut at ASCII white space. Shingles are
@@ -13,6 +14,7 @@ known by 64-bit hashes, equal sets by a 64-bit digest of these, rows by a 64-bit
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -236,12 +238,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """node, component: the class of each digest that has a link to another."""
+def classes(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component: the class of each digest that has a link to another. candidates: pairs (a, b) looked at first."""
     rows = prefixes(sets, *frequent(sets)).repartition("key").sortWithinPartitions("key")
     shared = written(by_runs(rows, "key long, digest long, n int", fresh), "copies-keys")
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
-    first = written(by_runs(sort(shared), "a long, b long", stars).distinct(), "copies-stars")
+    first = written(by_runs(sort(shared), "a long, b long", stars).unionByName(candidates(sets)).distinct(), "copies-stars")
     links = written(confirmed(first, sets), "copies-links")
     known = written(components(links, "copies-first"), "copies-known")
     placed = shared.join(known.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "n", F.coalesce("component", "digest").alias("component"))
@@ -250,10 +252,10 @@ def classes(sets: DataFrame) -> DataFrame:
     return written(components(links.unionByName(more), "copies-all"), "copies-classes")
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One row of each class of near copies: that of the smallest doc_id, null the largest of all."""
     sets = written(sets_of(docs), "copies-sets")
-    of = classes(sets)
+    of = classes(sets, candidates)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")).alias("rank")
     least = sets.select("digest", rank).groupBy("digest").agg(F.min("rank").alias("rank"))
     best = least.join(of.withColumnRenamed("node", "digest"), "digest", "left").groupBy(F.coalesce("component", "digest").alias("c")).agg(F.min("rank").alias("rank"))

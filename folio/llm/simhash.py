@@ -1,21 +1,26 @@
 """SimHash near-duplicates with a hierarchical index over Gray-ordered fingerprints.
 
-Distinct fingerprints are blocked so that two with at most 2 differing bits meet: of four 16-bit
-blocks at least two are equal, so each of the six pairs of blocks is a key. A key held by many
-fingerprints is split again in the same way over its remaining 32 bits, after which at most 2^16
-fingerprints can share a key. Within a key fingerprints are sorted by Gray rank; those that share
-leading varying bits are neighbours in that order and form the nodes of a tree. Pairs of nodes are
-descended together; differences of the shared, masked bits add up, and a pair of groups over the
-threshold is pruned whole. A key returns one link per fingerprint to its local class, never pairs.
+Distinct fingerprints are sorted by Gray rank, in which those that share leading bits are neighbours. The
+upper nodes of the index are the cells of that order: the fingerprints of one leading bit pattern, about
+CELL of them. The patterns themselves make a tree; pairs of its nodes are descended together, the
+differences of the masked, shared bits add up, and a pair of groups over the threshold is pruned whole.
+The pairs of cells left are dealt out, one task to a cell and those it meets, where the tree goes on below
+the pattern in the same way down to single fingerprints. A task returns one link per fingerprint to its
+local class, never pairs. There is no other path at any size; a cell with many more fingerprints than CELL
+is cut into pieces that meet like cells.
+
+near_duplicates() takes five-word shingles and links texts with Jaccard similarity of 0.8 or more. Its
+first candidates are the index's links, confirmed by the whole sets; as similar texts can differ in more
+bits than the threshold, an exact set join over rare shingles (nearcopies.py) then finds every link left.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; repeated
-rows share a fingerprint; a null doc_id gets the class of its fingerprint; an empty table gives no
-rows; other columns are not read.
+rows share a fingerprint; a null doc_id gets the class of its fingerprint, null where that has no other
+doc_id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import nearcopies
 from folio.llm.common import arrow_map, table, written
-from folio.llm.components import components
+from folio.llm.components import Classes, components
 
 SHINGLE, SEED = 3, 42
-BLOCKS = 4
-#: Fingerprints under one key from which on it is split by further bits.
-SPLIT_FROM = 20_000
+#: Fingerprints of a cell, about, and leading bits of a pattern at most (its counts go to the driver).
+CELL, PATTERN_BITS = 2048, 20
+#: Guests a task compares with its cell at once.
+GUESTS = 65_536
 
 
 def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
@@ -48,6 +55,16 @@ def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashed shingles."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[i : i + 65536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE) -> DataFrame:
     """doc_id, fp long (the 64 bits, signed)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -63,164 +80,195 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return r
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
-
-
-def near_pairs(fps: np.ndarray, most: int = 2, bits_each: int = 8, chunk: int = 400_000):
-    """Yield arrays (i, j) of places in fps (distinct, uint64) with at most `most` differing bits, each pair once."""
-    order = np.argsort(gray_rank(fps), kind="stable")
-    x = fps[order]
-    levels = []  # per level the first place of each node; nodes of a level share their leading bits
-    for top in range(bits_each, 65, bits_each):
-        head = x >> np.uint64(64 - top)
-        levels.append(np.r_[np.flatnonzero(np.r_[True, head[1:] != head[:-1]]), len(x)])
-    depth = [k for k in range(len(levels)) if k == len(levels) - 1 or len(levels[k]) > (len(levels[k - 1]) if k else 2)]
-    levels = [levels[k] for k in depth]
-    masks, sofar = [], 0
-    for k in depth:
-        top = bits_each * (k + 1)
-        masks.append(np.uint64(((1 << (top - sofar)) - 1) << (64 - top)))
-        sofar = top
-    kids = []  # first child of each node in the next level
-    for up, down in zip(levels, levels[1:]):
-        kids.append(np.searchsorted(down, up))
-    n0 = len(levels[0]) - 1
-    stack = [(0, *np.triu_indices(n0), np.zeros(n0 * (n0 + 1) // 2, np.int64))]
+class Ranked:
+    """Fingerprints sorted by Gray rank, and per level (so many leading bits) the first place of each node."""
+
+    def __init__(self, fps: np.ndarray):
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.x = fps[self.order]
+        changed = self.x[1:] ^ self.x[:-1]
+        self.starts = {top: np.r_[0, np.flatnonzero(changed >> np.uint64(64 - top)) + 1, len(fps)] for top in range(STEP, 65, STEP)}
+
+
+#: Bits from one level of the tree to the next.
+STEP = 4
+
+
+def near_pairs(a: Ranked, b: Ranked, most: int = 2, chunk: int = 400_000):
+    """Yield arrays (i, j) of places in a's and b's fingerprints with at most `most` differing bits; of a with itself each pair once."""
+    if not len(a.x) or not len(b.x):
+        return
+    same, tops = a is b, []
+    for top in range(STEP, 65, STEP):  # levels in which no node has split say nothing of their own
+        if top == 64 or not tops or any(len(r.starts[top]) > len(r.starts[tops[-1]]) for r in (a, b)):
+            tops.append(top)
+    masks = [np.uint64(((1 << (top - low)) - 1) << (64 - top)) for low, top in zip([0, *tops], tops)]
+    kids = [[np.searchsorted(r.starts[down], r.starts[up]) for up, down in zip(tops, tops[1:])] for r in (a, b)]
+    n, m = len(a.starts[tops[0]]) - 1, len(b.starts[tops[0]]) - 1
+    i, j = np.triu_indices(n) if same else (np.repeat(np.arange(n), m), np.tile(np.arange(m), n))
+    stack = [(0, i, j, np.zeros(len(i), np.int64))]
     while stack:
-        k, a, b, acc = stack.pop()
-        if len(a) > chunk:
-            stack += [(k, a[s : s + chunk], b[s : s + chunk], acc[s : s + chunk]) for s in range(0, len(a), chunk)]
+        k, i, j, apart = stack.pop()
+        apart = apart + np.bitwise_count((a.x[a.starts[tops[k]][i]] ^ b.x[b.starts[tops[k]][j]]) & masks[k])
+        live = apart <= most
+        i, j, apart = i[live], j[live], apart[live]
+        if k == len(tops) - 1:
+            if same:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield a.order[a.starts[64][i]], b.order[b.starts[64][j]]
             continue
-        acc = acc + popcount((x[levels[k][a]] ^ x[levels[k][b]]) & masks[k])
-        live = acc <= most
-        a, b, acc = a[live], b[live], acc[live]
-        if k == len(levels) - 1:
-            real = a < b
-            if real.any():
-                yield order[levels[k][a[real]]], order[levels[k][b[real]]]
-            continue
-        ca, cb = kids[k][a + 1] - kids[k][a], kids[k][b + 1] - kids[k][b]
-        sizes = ca * cb
+        first_a, first_b = kids[0][k], kids[1][k]
+        width = first_b[j + 1] - first_b[j]
+        sizes = (first_a[i + 1] - first_a[i]) * width
         for s, e in cut(sizes, chunk):
             rep = np.repeat(np.arange(s, e), sizes[s:e])
             within = np.arange(len(rep)) - np.repeat(np.cumsum(sizes[s:e]) - sizes[s:e], sizes[s:e])
-            na, nb = kids[k][a[rep]] + within // cb[rep], kids[k][b[rep]] + within % cb[rep]
-            once = na <= nb  # a node with itself gives each pair of its children once
-            stack.append((k + 1, na[once], nb[once], acc[rep][once]))
+            ni, nj = first_a[i[rep]] + within // width[rep], first_b[j[rep]] + within % width[rep]
+            if same:  # a node with itself gives each pair of its children once
+                once = ni <= nj
+                ni, nj, rep = ni[once], nj[once], rep[once]
+            stack.append((k + 1, ni, nj, apart[rep]))
 
 
 def cut(sizes: np.ndarray, most: int):
     """Ranges of consecutive items whose sizes sum to about `most`."""
-    ends = np.cumsum(sizes)
-    at = 0
+    ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, to
         at = to
 
 
-def local_roots(n: int, pairs) -> np.ndarray:
-    """Smallest place reachable of each of n places by the pairs."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while len(i):
-            a, b = root[i], root[j]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            apart = lo != hi
-            if not apart.any():
-                break
-            i, j = i[apart], j[apart]
-            np.minimum.at(root, hi[apart], lo[apart])
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
-def block_keys(taken: str | None, bits: list[int]):
-    """Key columns for pairs of blocks of the bit ranges: array of structs (combo, key)."""
-    width = len(bits) // BLOCKS
-    keys = []
-    for c, pick in enumerate(combinations(range(BLOCKS), 2)):
-        mask = 0
-        for k in pick:
-            for bit in bits[k * width : (k + 1) * width]:
-                mask |= 1 << bit
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    return F.array(*keys)
-
-
-def fine_keys(keyed: DataFrame) -> DataFrame:
-    """Split keys again: combo and key take two of four blocks of the remaining 32 bits on top."""
-    picks = list(combinations(range(BLOCKS), 2))
-    cases = None
-    for c, pick in enumerate(picks):
-        rest = [bit for k in range(BLOCKS) if k not in pick for bit in range(16 * k, 16 * k + 16)]
-        made = F.transform(block_keys(None, rest), lambda s, c=c: F.struct((F.lit(6 + 6 * c) + s["combo"]).cast("int").alias("combo"), s["key"].bitwiseOR(F.col("key")).alias("key")))
-        cases = F.when(F.col("combo") == c, made) if cases is None else cases.when(F.col("combo") == c, made)
-    return keyed.select("fp", "rep", F.explode(cases).alias("k")).select("fp", "rep", "k.combo", "k.key")
+class Cells:
+    """The leading patterns that occur, the pieces of each, and the cells within the threshold of each other."""
+
+    def __init__(self, bits: int, patterns: np.ndarray, counts: np.ndarray, most: int):
+        self.bits, self.patterns = bits, patterns
+        self.pieces = -(-counts // (2 * CELL))
+        self.first = np.cumsum(self.pieces) - self.pieces
+        left = (patterns << np.uint64(64 - bits)) if bits else patterns
+        tree = Ranked(left)
+        pairs = [np.array(p) for p in near_pairs(tree, tree, most)]
+        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        home = np.where((i + j) % 2 == 1, np.minimum(i, j), np.maximum(i, j))  # each cell has about half of its pairs
+        guest = i + j - home
+        order = np.argsort(guest, kind="stable")
+        self.home, self.bounds = home[order], np.searchsorted(guest[order], np.arange(len(patterns) + 1))
+
+    def of(self, fps: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.patterns, fps >> np.uint64(64 - self.bits)) if self.bits else np.zeros(len(fps), np.int64)
+
+    def visits(self, cell: int, piece: int) -> np.ndarray:
+        """The tasks that a piece of a cell goes to as a guest."""
+        homes = self.home[self.bounds[cell] : self.bounds[cell + 1]]
+        other = [np.arange(self.first[h], self.first[h] + self.pieces[h]) for h in homes]
+        return np.concatenate([*other, np.arange(self.first[cell], self.first[cell] + piece)])
+
+
+def cells(distinct: DataFrame, most: int) -> Cells | None:
+    n = distinct.count()
+    if not n:
+        return None
+    bits = min(PATTERN_BITS, max(0, math.ceil(math.log2(n / CELL))))
+    pattern = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = distinct.groupBy(pattern.alias("p")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    p, counts = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(p)
+    return Cells(bits, p[order], counts[order], most)
 
 
 def links(distinct: DataFrame, most: int = 2) -> DataFrame:
-    """u, v: links between reps of distinct fingerprints (fp, rep), spanning what each key's fingerprints link to."""
-    keyed = distinct.select("fp", "rep", F.explode(block_keys(None, list(range(64)))).alias("k")).select("fp", "rep", "k.combo", "k.key")
-    counted = keyed.groupBy("combo", "key").count()
-    hot = written(counted.where(F.col("count") >= SPLIT_FROM).select("combo", "key"), "simhash-hot")
-    plain = keyed.join(counted.where((F.col("count") > 1) & (F.col("count") < SPLIT_FROM)).select("combo", "key").hint("merge"), ["combo", "key"])
-    fine = fine_keys(keyed.join(hot, ["combo", "key"]))
-    rows = plain.select("fp", "rep", "combo", "key").unionByName(fine).repartition("combo", "key").sortWithinPartitions("combo", "key")
+    """u, v: links between reps of distinct fingerprints (fp, rep), spanning what is within `most` differing bits."""
+    index = cells(distinct, most)
+    if index is None:
+        return distinct.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
+
+    def deal(batches):
+        for b in batches:
+            fps = b.column(0).to_numpy().view(np.uint64)
+            cell = index.of(fps)
+            piece = ((gray_rank(fps) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % index.pieces[cell]
+            task = index.first[cell] + piece
+            order = np.argsort(task, kind="stable")
+            cuts = np.flatnonzero(np.diff(task[order], prepend=-1))
+            for s, e in zip(cuts, [*cuts[1:], len(order)]):
+                own = order[s:e]
+                to = np.r_[task[own[0]], index.visits(cell[own[0]], int(piece[own[0]]))]
+                for t in range(0, len(to), max(1, 500_000 // len(own))):
+                    some = to[t : t + max(1, 500_000 // len(own))]
+                    part = b.take(pa.array(np.tile(own, len(some))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(own))), pa.array(np.repeat(some != task[own[0]], len(own))), *part.columns], names=["task", "guest", "fp", "rep"])
+
+    rows = distinct.select("fp", "rep").mapInArrow(deal, "task long, guest boolean, fp long, rep long").repartition("task").sortWithinPartitions("task", "guest")
+
+    def compared(own: tuple, guests: tuple | None):
+        reps, classes = own[1], None
+        if guests is None:
+            classes = Classes(len(reps))
+            for i, j in near_pairs(own[0], own[0], most):
+                classes.link(i, j)
+        else:
+            reps = np.r_[reps, guests[1]]
+            classes = Classes(len(reps))
+            for i, j in near_pairs(own[0], Ranked(guests[0]), most):
+                classes.link(i, j + len(own[1]))
+        linked = np.flatnonzero(classes.root != np.arange(len(reps)))
+        return pa.RecordBatch.from_arrays([pa.array(reps[linked], pa.int64()), pa.array(reps[classes.root[linked]], pa.int64())], names=["u", "v"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def out(group):
-            fps = np.concatenate([g.column(0).to_numpy() for g in group]).view(np.uint64)
-            reps = np.concatenate([g.column(1).to_numpy() for g in group])
-            if len(fps) < 2:
-                return None
-            if len(fps) <= 64:
-                i, j = np.triu_indices(len(fps), 1)
-                near = popcount(fps[i] ^ fps[j]) <= most
-                pairs = [(i[near], j[near])]
-            else:
-                pairs = near_pairs(fps, most)
-            root = local_roots(len(fps), pairs)
-            own = np.flatnonzero(root != np.arange(len(fps)))
-            return reps[own], reps[root[own]]
-
-        made: list = []
-        last = None
+        at, own, held, size = None, None, [], 0
+
+        def flush():
+            nonlocal own, held, size
+            if held:
+                fps, reps = (np.concatenate(x) for x in zip(*held))
+                if own is None:
+                    own = (Ranked(fps), reps)
+                    yield compared(own, None)
+                else:
+                    yield compared(own, (fps, reps))
+            held, size = [], 0
+
         for b in batches:
-            combo, key = b.column(2).to_numpy(), b.column(3).to_numpy()
-            starts = np.r_[0, np.flatnonzero((combo[1:] != combo[:-1]) | (key[1:] != key[:-1])) + 1] if b.num_rows else []
-            for s, e in zip(starts, [*starts[1:], b.num_rows]):
-                if last is not None and (combo[s], key[s]) != last:
-                    made.append(out(held))
-                    held = []
-                last = (combo[s], key[s])
-                held.append(b.slice(s, e - s))
-            made = [m for m in made if m is not None and len(m[0])]
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made]), pa.int64()) for k in (0, 1)], names=["u", "v"])
-            made = []
-        if held and (m := out(held)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(m[0], pa.int64()), pa.array(m[1], pa.int64())], names=["u", "v"])
+            key = b.column(0).to_numpy() * 2 + b.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1] if len(key) else []
+            for s, e in zip(cuts, [*cuts[1:], len(key)]):
+                if at != key[s] or size > GUESTS and key[s] % 2:
+                    yield from flush()
+                    if at is None or at // 2 != key[s] // 2:
+                        own = None
+                    at = key[s]
+                held.append((b.column(2)[s:e].to_numpy().view(np.uint64), b.column(3)[s:e].to_numpy()))
+                size += e - s
+        yield from flush()
 
     return rows.mapInArrow(run, "u long, v long")
 
 
 def simhash_classes(docs: DataFrame, words_each: int = SHINGLE, most: int = 2) -> DataFrame:
-    """doc_id, fp long, component_id: the smallest doc_id reachable by links of at most `most` differing bits (0 to 2)."""
-    if not 0 <= most <= 2:
-        raise ValueError("the blocks find links of 0 to 2 differing bits")
+    """doc_id, fp long, component_id: the smallest doc_id reachable by links of at most `most` differing bits."""
     prints = written(fingerprints(docs, words_each), "simhash")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "simhash-distinct")
-    classes = written(components(links(distinct.where("rep is not null"), most), "simhash-links"), "simhash-classes")
-    of = distinct.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = components(written(links(distinct.where("rep is not null"), most), "simhash-links"), "simhash-classes")
+    of = written(distinct.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-of")
     return prints.join(of.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, most: int = 2) -> DataFrame:
+    """The rows that stay: of each class linked by five-word shingles with Jaccard similarity of 0.8 or more the one with the smallest doc_id (null the largest of all)."""
+
+    def first(sets: DataFrame) -> DataFrame:
+        """a, b: digests whose fingerprints the index links."""
+        marks = arrow_map(sets.where("hashes is not null").select("digest", "hashes"), "rep long, fp long", lambda c: [c[0], np.array([of_hashes(np.frombuffer(h, np.uint64)) for h in c[1]], np.uint64).view(np.int64)])
+        marks = written(marks.dropDuplicates(["rep"]), "simhash-sets")
+        distinct = written(marks.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-distinct")
+        shared = marks.join(distinct.withColumnRenamed("rep", "head").hint("merge"), "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+        return links(distinct, most).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).unionByName(shared)
+
+    return nearcopies.without_copies(docs, first)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its fingerprint and the class its links make."""
     return simhash_classes(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
