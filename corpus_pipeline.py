@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from folio.llm.bpe import vocabulary
 from folio.llm.common import table, written
-from folio.llm.nearcopies import without_copies
 from folio.llm.packing import packed
 from folio.llm.pii import without_pii
 from folio.llm.quality import quality_scores
+from folio.llm.simhash import near_duplicates as near_copies_out
 from folio.llm.toxicity import toxicity_scores
 
 #: SQL cannot express the learned stages.
@@ -35,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each class linked by five-word shingles with Jaccard similarity of 0.8 or more."""
-    return without_copies(docs).select(*COLUMNS)
+    return near_copies_out(docs).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
