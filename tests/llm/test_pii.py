@@ -68,7 +68,7 @@ def test_terms_equal_brute_force(spark, sf):
 def test_common_word_stays(spark):
     texts = [f"{'common ' * 200}{w} mail a@b.org common" for w in ("eins", "zwei", "drei", "vier")] + ["mail " * 40]
     got = {r.term for r in pii.disclosing_terms(rows_of(spark, texts)).collect()}
-    assert got == {"eins", "zwei", "drei", "vier"}
+    assert got == {"eins", "zwei", "drei", "vier", "a", "b", "org"}  # the last three stand in the address alone
 
 
 def test_spans_and_sanitised_texts(spark, monkeypatch):
