@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 from folio.llm import merkle, warc
 
@@ -13,21 +14,65 @@ def test_merkle_equals_brute_force(spark, sf, monkeypatch):
         after = rows[(k + 1) % len(rows)][1]
         n = len(t) // 4
         e = t[: len(t) - n] + after[:n]
-        want[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(e), merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(after)))
+        want[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(e), round(merkle.likeness(merkle.Tree.of(t), merkle.Tree.of(after)), 9))
     for each in (17, 10**6):
         got = merkle.with_next(docs, each)
         monkeypatch.setattr(merkle, "with_next", lambda d, got=got: got)
         out = merkle.merkle(docs).collect()
         monkeypatch.undo()
-        assert {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in out} == want and len(out) == len(want)
+        assert {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_next, 9)) for r in out} == want and len(out) == len(want)
 
 
-def test_likeness_and_edits():
-    a = "One here. Two here.\nThree.\n" * 3
-    assert merkle.likeness(merkle.fingerprint(None), merkle.fingerprint("")) == 1
-    assert 0.5 < merkle.likeness(merkle.fingerprint(a + "Four."), merkle.fingerprint(a + "Five.")) < 1
-    assert merkle.fingerprint("a  b") != merkle.fingerprint("a b")
-    assert merkle.differing(merkle.fingerprint(a), merkle.fingerprint(a)) == ([], [])
+def leaves(tree):
+    return [x for s in tree.sections for p in s.kids for x in p.kids]
+
+
+def common_run(a, b):
+    """Most characters of leaves that are common in order, by dynamic programming."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + x.size if x.hash == y.hash else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_likeness_by_brute_force():
+    r = random.Random(3)
+    texts = ["", "a", "One. Two.", "Two. One.", "a\n\nb", "b\na", "a  b", "a b"]
+    for _ in range(60):
+        lines = [". ".join(r.choice(["ab", "cd", "ef gh", "x" * 250]) for _ in range(r.randrange(5))) + r.choice(["", "."]) for _ in range(r.randrange(1, 30))]
+        texts += ["\n".join(lines), "\n".join([*lines[: len(lines) // 2], "new. line", *lines[len(lines) // 2 :]])]
+    trees = [merkle.Tree.of(t) for t in texts]
+    for t, x in zip(texts, trees):
+        assert sum(k.size for k in leaves(x)) == len(t) and str(merkle.Tree.read(str(x))) == str(x)
+    for s, a in zip(texts, trees):
+        for t, b in zip(texts, trees):
+            value = merkle.likeness(a, b)
+            assert (value == 1) == (s == t) and 0 <= value <= 1
+            same, edits = merkle.compared(a, b)
+            assert same <= common_run(leaves(a), leaves(b))
+            # what is outside the edits is equal, in order, and is what counts as the same
+            rest = lambda x, at: "".join(x[i:j] for i, j in zip([0, *(e[at + 1] for e in edits)], [*(e[at] for e in edits), len(x)]))
+            assert rest(s, 0) == rest(t, 2) and len(rest(s, 0)) == same
+
+
+def test_edits_are_located_without_a_look_at_equal_branches():
+    lines = [f"Line {i} says this. And that {i}." for i in range(400)]
+    a, b = merkle.Tree.of("\n".join(lines)), merkle.Tree.of("\n".join([*lines[:200], "Line 200 says more.", *lines[201:]]))
+    same, edits = merkle.compared(a, b)
+    at = len("\n".join(lines[:200])) + 1
+    assert edits[0][0] == at and edits[-1][1] <= at + len(lines[200]) + 1 and merkle.likeness(a, b) > 0.99
+    changed = {s.hash for s in a.sections} ^ {s.hash for s in b.sections}
+    assert len(changed) <= 4 < len(a.sections)
+    assert merkle.fingerprint(None) == merkle.fingerprint("") and merkle.likeness(merkle.Tree.of(None), merkle.Tree.of("x")) == 0
+
+
+def test_merkle_takes_very_long_texts():
+    t = "a. " * 300_000 + "b" * 1_000_000 + "\n" * 100_000
+    a, b = merkle.Tree.of(t), merkle.Tree.of("x" + t)
+    assert 0.9 < merkle.likeness(a, b) < 1
 
 
 def test_merkle_single_and_empty(spark):
@@ -35,7 +80,9 @@ def test_merkle_single_and_empty(spark):
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
     assert merkle.merkle(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = merkle.merkle(spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, text string")).collect()
-    assert len(twice) == 3
+    assert len(twice) == 3 and {r.doc_id for r in twice} == {None, 1}
+    lone = merkle.merkle(spark.createDataFrame([(None, "abcd")], "doc_id long, text string")).collect()
+    assert len(lone) == 1 and lone[0].near_next == 1
 
 
 def test_normaliser_keeps_records_and_index():
