@@ -1,22 +1,29 @@
 """LM scoring: a gated recurrent language model in numpy with a class-factored softmax.
 
-log P(word | past) = log P(class | state) + log P(word | class). A word's class is its last two bytes
-(the most frequent endings of the corpus have classes of their own, the others share one, the end of a
-text has one). Within a class words follow add-one counts of all training tokens. The classes are
-predicted by a gated recurrent unit. Each partition trains a replica by truncated backpropagation on
-all tokens of its training documents, and replicas are averaged by tokens, so what is learned grows
-with the corpus. Scoring carries the state across windows: a document's likelihood is that of the whole.
+log P(word | past) = log P(class | state) + log P(slot | class, state) [+ log P(word | class, rest)]. A word's
+class is its last two bytes (the most frequent endings of the corpus have classes of their own, the others
+share one, the end of a text has one). The SLOTS most frequent words of a class have slots of their own; the
+last slot is the rest of the class, where words follow add-one counts of all training tokens. Both softmaxes
+see the state of a gated recurrent unit that reads class and slot of each word.
+
+Training is truncated backpropagation over all training tokens, each once. Documents are dealt to shards of
+about SHARD tokens by a hash of doc_id and ordered by it, so shards do not depend on how the table is
+partitioned. Shards train in up to ROUNDS rounds, each from the mean, by tokens, of the replicas before it,
+summed in the order of shards. Scoring carries the state across windows: a document's likelihood is that of
+the whole.
 
 Counts of the most frequent words travel with the tasks (FREQUENT entries at most); every other word
 of a document meets its count in a join, so counts are exact at any size of vocabulary.
 
 Defined results: a null or empty text is the end token alone; repeated rows each get a score; a null
-doc_id is training data; without training documents every count is 0; other columns are not read.
+doc_id is training data; without training documents every count is 0 and the model is the untrained one;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_map, flat_sum, held_out, table, written
+from folio.llm.common import arrow_map, held_out, table, written
 
 #: Parameters of the model.
-ENDINGS, HIDDEN, FREQUENT = 46, 16, 150_000
-CLASSES = ENDINGS + 2
-#: Steps of a window, and streams trained side by side at most.
-WINDOW, STREAMS = 20, 256
+ENDINGS, SLOTS, HIDDEN, FREQUENT = 46, 31, 16, 150_000
+CLASSES, EACH = ENDINGS + 2, SLOTS + 1
+#: Steps of a window, streams trained side by side at most, tokens of a shard, rounds at most.
+WINDOW, STREAMS, SHARD, ROUNDS = 20, 512, 2_000_000, 6
 END = b""
 
 
@@ -38,21 +45,22 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def ending(word: bytes) -> bytes:
-    return word[-2:]
-
-
 def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(-1, keepdims=True)
+    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+
+
 class Gru:
-    """Gated recurrent unit over classes: input one-hot, output a softmax over classes."""
+    """Gated recurrent unit over codes (class * EACH + slot), with a softmax over classes and one over each class's slots."""
 
-    def __init__(self, bias: np.ndarray, seed: int = 5):
+    def __init__(self, class_bias: np.ndarray, slot_bias: np.ndarray, seed: int = 5):
         r = np.random.default_rng(seed)
         h, c = HIDDEN, CLASSES
-        self.p = {"w": r.normal(0, 0.3, (c, 3 * h)), "u": r.normal(0, 0.2, (h, 3 * h)), "b": np.zeros(3 * h), "o": r.normal(0, 0.1, (h, c)), "d": bias.copy()}
+        self.p = {"w": np.repeat(r.normal(0, 0.3, (c, 3 * h)), EACH, 0), "u": r.normal(0, 0.2, (h, 3 * h)), "b": np.zeros(3 * h), "o": r.normal(0, 0.1, (h, c)), "d": class_bias.copy(), "s": np.zeros((c, h, EACH)), "e": slot_bias.copy()}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def flat(self) -> np.ndarray:
@@ -65,90 +73,114 @@ class Gru:
             at += v.size
 
     def states(self, h: np.ndarray, x: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All states before each step's token, and the state after. x: steps by streams of classes."""
+        """All states before each step's token, and the state after. x: steps by streams of codes."""
         p, n = self.p, HIDDEN
         inputs = p["w"][x] + p["b"]
-        out = np.empty((len(x), len(h), n), np.float32)
+        u1, u2 = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
+        out = np.empty((len(x), len(h), n), h.dtype)
         for t in range(len(x)):
             out[t] = h
-            hu = h @ p["u"][:, : 2 * n]
-            zr = sigmoid(inputs[t, :, : 2 * n] + hu)
+            zr = sigmoid(inputs[t, :, : 2 * n] + h @ u1)
             z, r = zr[:, :n], zr[:, n:]
-            g = np.tanh(inputs[t, :, 2 * n :] + (r * h) @ p["u"][:, 2 * n :])
+            g = np.tanh(inputs[t, :, 2 * n :] + (r * h) @ u2)
             if keep is not None:
                 keep.append((h, z, r, g))
             h = h + z * (g - h)
         return out, h
 
-    def log_probs(self, states: np.ndarray) -> np.ndarray:
-        a = states @ self.p["o"] + self.p["d"]
-        a -= a.max(-1, keepdims=True)
-        return a - np.log(np.exp(a).sum(-1, keepdims=True))
+    def likelihood(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log likelihood of each code after its state; with grads their sums, and the gradient at the states, of the mean loss."""
+        p, n, k, slot = self.p, len(codes), codes // EACH, codes % EACH
+        logs = log_softmax(states @ p["o"] + p["d"])
+        at = np.arange(n)
+        out = logs[at, k]
+        dstates = None
+        if grads is not None:
+            da = np.exp(logs)
+            da[at, k] -= 1
+            da /= n
+            grads["o"], grads["d"] = states.T @ da, da.sum(0)
+            dstates = da @ p["o"].T
+        order = np.argsort(k, kind="stable")
+        bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+            own = order[bounds[c] : bounds[c + 1]]
+            s = states[own]
+            logs = log_softmax(s @ p["s"][c] + p["e"][c])
+            out[own] += logs[np.arange(len(own)), slot[own]]
+            if grads is not None:
+                da = np.exp(logs)
+                da[np.arange(len(own)), slot[own]] -= 1
+                da /= n
+                grads["s"][c], grads["e"][c] = s.T @ da, da.sum(0)
+                dstates[own] += da @ p["s"][c].T
+        return out, dstates
 
     def train(self, stream: np.ndarray, rate: float = 0.01) -> None:
-        """Truncated backpropagation over windows of parallel streams, by Adam. stream: classes of documents in a row."""
+        """Truncated backpropagation over windows of parallel streams, by Adam. stream: codes of documents in a row."""
         width = min(STREAMS, max(1, len(stream) // (40 * WINDOW)))
         # the last stream is filled up from the start, so no token is left out
-        x = np.concatenate([stream, stream[: -len(stream) % width]]).reshape(width, -1).T
+        x = np.concatenate([stream, np.resize(stream, -len(stream) % width)]).reshape(width, -1).T
         h = np.zeros((width, HIDDEN), np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step, t in enumerate(range(0, len(x), WINDOW), 1):
-            part = x[t : t + WINDOW]
-            grads, h = self.gradient(h, part)
+            grads, h = self.gradient(h, x[t : t + WINDOW])
+            speed = np.float32(rate / (1 + step / 400) / (1 - 0.9**step))
+            scale = np.float32(1 / (1 - 0.99**step))
             for k, g in grads.items():
-                g = np.clip(g, -1, 1)
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.99 * s[k] + 0.01 * g * g
-                self.p[k] = self.p[k] - np.float32(rate / (1 + step / 400)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+                np.clip(g, -1, 1, out=g)
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * g
+                s[k] *= np.float32(0.99)
+                s[k] += np.float32(0.01) * g * g
+                self.p[k] -= speed * m[k] / (np.sqrt(s[k] * scale) + np.float32(1e-6))
 
     def gradient(self, h: np.ndarray, x: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the mean negative log likelihood of x's classes, and the state after."""
+        """Gradients of the mean negative log likelihood of x's codes, and the state after."""
         p, n, keep = self.p, HIDDEN, []
         states, last = self.states(h, x, keep)
-        da = np.exp(self.log_probs(states))
-        np.put_along_axis(da, x[..., None], np.take_along_axis(da, x[..., None], -1) - 1, -1)
-        da /= x.size
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        grads["o"] = states.reshape(-1, n).T @ da.reshape(-1, CLASSES)
-        grads["d"] = da.sum((0, 1))
-        dout = da @ p["o"].T
+        dout = self.likelihood(states.reshape(-1, n), x.ravel(), grads)[1].reshape(states.shape)
         dh = np.zeros_like(h)
-        all_both = np.empty((*x.shape, 3 * n), h.dtype)
+        each = np.empty((*x.shape, 3 * n), h.dtype)
+        u1, u2 = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, g = keep[t]
             dg = dh * z * (1 - g * g)
-            drh = dg @ p["u"][:, 2 * n :].T
-            dz, dr = dh * (g - before) * z * (1 - z), drh * before * r * (1 - r)
-            dzr = np.hstack([dz, dr])
-            all_both[t, :, : 2 * n], all_both[t, :, 2 * n :] = dzr, dg
-            grads["u"][:, : 2 * n] += before.T @ dzr
-            grads["u"][:, 2 * n :] += (r * before).T @ dg
-            dh = dh * (1 - z) + drh * r + dzr @ p["u"][:, : 2 * n].T + dout[t]
-        flat = all_both.reshape(-1, 3 * n)
-        grads["w"] += np.eye(CLASSES, dtype=h.dtype)[x.ravel()].T @ flat
-        grads["b"] += flat.sum(0)
+            drh = dg @ u2
+            dzr = each[t, :, : 2 * n]
+            dzr[:, :n], dzr[:, n:] = dh * (g - before) * z * (1 - z), drh * before * r * (1 - r)
+            each[t, :, 2 * n :] = dg
+            dh = dh * (1 - z) + drh * r + dzr @ u1 + dout[t]
+        flat, codes = each.reshape(-1, 3 * n), x.ravel()
+        before = states.reshape(-1, n)
+        gated = np.concatenate([r * b for b, _, r, _ in keep])
+        grads["u"][:, : 2 * n], grads["u"][:, 2 * n :] = before.T @ flat[:, : 2 * n], gated.T @ flat[:, 2 * n :]
+        grads["b"] = flat.sum(0)
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        grads["w"][codes[order][starts]] = np.add.reduceat(flat[order], starts)
         return grads, last
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Natural log likelihood of each document's classes, its state carried from window to window."""
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        sizes = np.array([len(docs[i]) for i in order])
+        """Natural log likelihood of each document's codes, its state carried from window to window."""
+        sizes = np.array([len(d) for d in docs])
+        order = np.argsort(-sizes, kind="stable")
+        flat, firsts, sizes = np.concatenate(docs), (np.cumsum(sizes) - sizes)[order], sizes[order]
         total, h, at = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32), 0
         while (live := int(np.searchsorted(-sizes, -at, "left"))) > 0:
             # a window ends where half of the documents have ended, so few steps are empty
             steps = int(min(128, max(8, sizes[live // 2] - at), sizes[0] - at))
-            x = np.zeros((steps, live), np.int64)
-            mask = np.zeros((steps, live), bool)
-            for k in range(live):
-                part = docs[order[k]][at : at + steps]
-                x[: len(part), k] = part
-                mask[: len(part), k] = True
-            for s in range(0, live, 256):
-                sl = slice(s, min(live, s + 256))
-                states, h[sl] = self.states(h[sl], x[:, sl])
-                got = np.take_along_axis(self.log_probs(states), x[:, sl, None], -1)[..., 0]
-                total[sl] += np.where(mask[:, sl], got, 0).sum(0, dtype=float)
+            for s in range(0, live, STREAMS):
+                own = slice(s, min(live, s + STREAMS))
+                place = at + np.arange(steps)[:, None]
+                mask = place < sizes[own]
+                x = flat[np.where(mask, place + firsts[own], 0)].astype(np.int64)
+                states, h[own] = self.states(h[own], x)
+                got = np.zeros(mask.shape)
+                got[mask] = self.likelihood(states[mask], x[mask])[0]
+                total[own] += got.sum(0)
             at += steps
         out = np.zeros(len(docs))
         out[order] = total
@@ -176,29 +208,115 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Classes:
-    def __init__(self, endings: list[bytes]):
-        self.of = {e: i for i, e in enumerate(endings)}
+class Codes:
+    """Class and slot of each word: the endings that are classes, and the slots of their most frequent words."""
 
-    def __call__(self, word: bytes) -> int:
+    def __init__(self, endings: list[bytes], frequent: dict[bytes, int]):
+        self.of = {e: i for i, e in enumerate(endings)}
+        self.words = {w: i for i, w in enumerate(frequent)}
+        counts = np.array(list(frequent.values()), np.int64)
+        k = np.array([self.ending(w) for w in frequent], np.int64)
+        self.code = k * EACH + SLOTS
+        self.counts = np.zeros((CLASSES, EACH), np.int64)  # of the slots
+        for c in range(CLASSES):
+            best = sorted(np.flatnonzero(k == c).tolist(), key=lambda i: -counts[i])[:SLOTS]  # frequent is in order of counts and words
+            self.code[best] = c * EACH + np.arange(len(best))
+            self.counts[c, : len(best)] = counts[best]
+        self.logs = np.log10(counts + 1.0)
+
+    def ending(self, word: bytes) -> int:
         return self.of.get(word[-2:], ENDINGS) if word else ENDINGS + 1
 
-
-def stream_of(batches, classes: Classes) -> np.ndarray:
-    """The classes of all tokens of the batches' texts in a row."""
-    parts = [np.array([classes(w) for w in tokens(t.as_py())], np.int16) for b in batches for t in b.column(0)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int16)
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Codes of the words, log10 of count + 1 of each (0 for rare words), and the rare words."""
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(at < 0)
+        if not len(self.code):
+            return np.array([self.ending(w) * EACH + SLOTS for w in words], np.uint16), np.zeros(len(words)), words
+        codes, logs = self.code[at].astype(np.uint16), self.logs[at]
+        others = [words[i] for i in rare.tolist()]
+        if others:
+            codes[rare] = [self.ending(w) * EACH + SLOTS for w in others]
+            logs[rare] = 0
+        return codes, logs, others
+
+
+def most_frequent(vocab: DataFrame) -> dict[bytes, int]:
+    """Words and counts of the FREQUENT most frequent words at most: those over the least count that so many reach."""
+    below, least = 0, None
+    for r in sorted(vocab.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.c):  # a row per different count
+        below += r.n
+        if below > FREQUENT:
+            break
+        least = r.c
+    rows = vocab.where(F.col("c") >= least).collect() if least is not None else []
+    return dict(sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0])))
+
+
+def summed(replicas: DataFrame, fan: int = 32) -> np.ndarray | None:
+    """Sum of the arrays (shard int, data binary) in an order that does not depend on partitions."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = np.frombuffer(x)
+                total[k % fan] = total[k % fan] + v if k % fan in total else v.copy()
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["shard", "data"])
+
+    rows = replicas.repartition(fan, F.col("shard") % fan).sortWithinPartitions("shard").mapInArrow(add, "shard int, data binary").collect()
+    parts = [np.frombuffer(r.data) for r in sorted(rows, key=lambda r: r.shard)]
+    return sum(parts[1:], parts[0]) if parts else None
+
+
+def trained(gru: Gru, coded: DataFrame, train_tokens: int) -> Gru:
+    """The model after all training documents of coded(doc_id, held_out, codes)."""
+    shards = max(1, -(-train_tokens // SHARD))
+    rounds = min(ROUNDS, shards)
+    mixed = F.xxhash64(F.col("doc_id").cast("string"), F.lit("lm"))
+    rows = coded.where("not held_out").select(F.pmod(mixed, F.lit(shards)).cast("int").alias("shard"), mixed.alias("h"), "codes")
+    dealt = written(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "codes"), "lm-shards")
+    for k in range(rounds):
+
+        def fit(batches, start=gru):
+            held, last = [], None
+
+            def done():
+                own = Gru.__new__(Gru)
+                own.p = {n: v.copy() for n, v in start.p.items()}
+                stream = np.concatenate(held)
+                own.train(stream.astype(np.int64), 0.01 / (1 + k / 2))
+                data = np.r_[own.flat() * len(stream), len(stream)]
+                return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["shard", "data"])
+
+            for b in batches:
+                for shard, codes in zip(b.column(0).to_pylist(), b.column(1)):
+                    if held and shard != last:
+                        yield done()
+                        held = []
+                    last = shard
+                    held.append(np.frombuffer(codes.as_py(), np.uint16))
+            if held:
+                yield done()
+
+        some = dealt.where(F.col("shard") % rounds == k).repartition(-(-shards // rounds), "shard").sortWithinPartitions("shard", "h", "codes")
+        total = summed(some.select("shard", "codes").mapInArrow(fit, "shard int, data binary"))
+        if total is not None:
+            after = Gru.__new__(Gru)
+            after.p = dict(gru.p)
+            after.set_flat(total[:-1] / total[-1])
+            gru = after
+    return gru
 
 
 def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     out_flag = held_out("doc_id", modulus, remainder)
-    train = docs.where(~out_flag)
-    vocab = written(word_counts(train), "lm-words")
+    vocab = written(word_counts(docs.where(~out_flag)), "lm-words")
     ends = F.expr("substring(word, greatest(1, length(word) - 1), 2)")
     heads = [bytes(r.e) for r in vocab.where("length(word) > 0").groupBy(ends.alias("e")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "e").limit(ENDINGS).collect()]
-    classes = Classes(heads)
     lookup = F.when(F.length("word") == 0, ENDINGS + 1)
     for i, e in enumerate(heads):
         lookup = lookup.when(ends == F.lit(e), i)
@@ -206,59 +324,47 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
     n_k = np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)], float)
     v_k = np.array([sums.get(k, (0, 0))[1] for k in range(CLASSES)], float)
     big_n, big_v = int(n_k.sum()), int(v_k.sum())
-    below = np.log10(n_k + v_k + 1)
-    frequent = {bytes(r.word): r.c for r in vocab.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()}
-    gru = Gru(np.log((n_k + 1) / (n_k + 1).sum()))
-
-    def fit(batches):
-        stream = stream_of(batches, classes)
-        if len(stream):
-            gru.train(stream.astype(np.int64))
-            flat = np.r_[gru.flat() * len(stream), len(stream)]
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["part", "data"])
-
-    summed = flat_sum(train.select("text").mapInArrow(fit, "part int, data binary"))
-    if summed is not None:
-        gru.set_flat(summed[:-1] / summed[-1])
-
-    logs = {w: (classes(w), float(np.log10(c + 1))) for w, c in frequent.items()}
+    codes = Codes(heads, most_frequent(vocab))
+    slots = codes.counts.astype(float)
+    rest = n_k - slots.sum(1)
+    below = np.log10(rest + v_k - (slots > 0).sum(1) + 1)  # of the rest slots
+    slots[:, SLOTS] = rest
+    slots = np.where((slots > 0) | (np.arange(EACH) == SLOTS), slots + 1, 1e-6)  # a slot without a word has next to no probability
 
     class State:
         def __init__(self):
             self.row = TaskContext.get().partitionId() << 33
 
-    def first(cols, state):
-        ids, ns, known, freq, model, rare_w, rare_n = [], [], [], [], [], [], []
-        coded = []
-        get = logs.get
+    def encoded(cols, state):
+        out = [cols[0], cols[2], *[[] for _ in range(8)]]
         for t in cols[1]:
             words = tokens(t)
-            pairs = [get(w) for w in words]
-            rare = [w for w, p in zip(words, pairs) if p is None]
-            ks = np.array([p[0] if p else classes(w) for p, w in zip(pairs, words)] if rare else [p[0] for p in pairs], np.int64)
-            coded.append(ks)
-            ids.append(state.row)
-            state.row += 1
-            ns.append(len(words))
-            known.append(len(words) - len(rare))
-            freq.append(sum(p[1] for p in pairs if p))
-            model.append(-float(below[ks].sum()))
+            own, logs, rare = codes(words)
+            others = own % EACH == SLOTS
             count = Counter(rare)
-            rare_w.append(list(count))
-            rare_n.append(list(count.values()))
-        ll = gru.score(coded) / np.log(10)
-        return [cols[0], cols[2], ids, ns, known, freq, (np.array(model) + ll).tolist(), rare_w, rare_n]
+            for c, x in zip(out[2:], (state.row, len(words), len(words) - len(rare), float(logs.sum()), float(logs[others].sum() - below[own[others] // EACH].sum()), list(count), list(count.values()), own.tobytes())):
+                c.append(x)
+            state.row += 1
+        return out
+
+    schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, rest double, words array<binary>, counts array<int>, codes binary"
+    coded = written(arrow_map(docs.select("doc_id", "text", out_flag.alias("h")), schema, encoded, State), "lm-codes")
+    gru = trained(Gru(np.log((n_k + 1) / (n_k + 1).sum()), np.log(slots / slots.sum(1, keepdims=True))), coded, big_n)
+
+    def scored(cols):
+        return [*cols[:-1], (gru.score([np.frombuffer(c, np.uint16) for c in cols[-1]]) / np.log(10)).tolist()]
 
-    scored = written(arrow_map(docs.select("doc_id", "text", out_flag.alias("h")), f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, model double, words array<binary>, counts array<int>", first, State), "lm-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
+    model = arrow_map(coded.select("doc_id", "held_out", "row", "n_tokens", "known", "logs", "rest", "codes"), f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, rest double, model double", scored)
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
     met = rare.join(vocab.hint("merge"), "word").groupBy("row").agg(F.sum("times").cast("long").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    whole = scored.drop("words", "counts").join(met.hint("merge"), "row", "left")
-    total = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    whole = model.join(met.hint("merge"), "row", "left")
+    more = F.coalesce("more_logs", F.lit(0.0))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(big_n).cast("long").alias("train_tokens"),
-        (total - F.col("n_tokens") * F.lit(float(np.log10(big_n + big_v + 1)))).alias("base_score"), (total + F.col("model")).alias("score"),
+        (F.col("logs") + more - F.col("n_tokens") * F.lit(float(np.log10(big_n + big_v + 1)))).alias("base_score"), (F.col("model") + F.col("rest") + more).alias("score"),
     )
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log likelihood under the model, beside that under add-one counts."""
     return lm_scores(table(spark, sf_dir, "documents"))
