@@ -49,9 +49,16 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def softmax(x: np.ndarray, at: np.ndarray, probabilities: bool) -> np.ndarray:
+    """Log probability of the column at[i] of each row of logits x; x becomes the probabilities, if wanted."""
+    rows = np.arange(len(x))
+    x -= x.max(-1, keepdims=True)
+    own = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(-1)
+    if probabilities:
+        x *= (1 / total)[:, None]
+    return own - np.log(total)
 
 
 class Gru:
@@ -91,29 +98,32 @@ class Gru:
     def likelihood(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log likelihood of each code after its state; with grads their sums, and the gradient at the states, of the mean loss."""
         p, n, k, slot = self.p, len(codes), codes // EACH, codes % EACH
-        logs = log_softmax(states @ p["o"] + p["d"])
-        at = np.arange(n)
-        out = logs[at, k]
+        a = states @ p["o"]
+        a += p["d"]
+        out = softmax(a, k, grads is not None)
         dstates = None
         if grads is not None:
-            da = np.exp(logs)
-            da[at, k] -= 1
-            da /= n
-            grads["o"], grads["d"] = states.T @ da, da.sum(0)
-            dstates = da @ p["o"].T
-        order = np.argsort(k, kind="stable")
+            a[np.arange(n), k] -= 1
+            a *= a.dtype.type(1 / n)
+            grads["o"], grads["d"] = states.T @ a, a.sum(0)
+            dstates = a @ p["o"].T
+        order = np.argsort(k.astype(np.int16), kind="stable")
         bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        states, slot = states[order], slot[order]
+        parts, back = np.empty(n, out.dtype), None if grads is None else np.empty_like(states)
         for c in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
-            own = order[bounds[c] : bounds[c + 1]]
-            s = states[own]
-            logs = log_softmax(s @ p["s"][c] + p["e"][c])
-            out[own] += logs[np.arange(len(own)), slot[own]]
+            own = slice(bounds[c], bounds[c + 1])
+            a = states[own] @ p["s"][c]
+            a += p["e"][c]
+            parts[own] = softmax(a, slot[own], grads is not None)
             if grads is not None:
-                da = np.exp(logs)
-                da[np.arange(len(own)), slot[own]] -= 1
-                da /= n
-                grads["s"][c], grads["e"][c] = s.T @ da, da.sum(0)
-                dstates[own] += da @ p["s"][c].T
+                a[np.arange(len(a)), slot[own]] -= 1
+                a *= a.dtype.type(1 / n)
+                grads["s"][c], grads["e"][c] = states[own].T @ a, a.sum(0)
+                back[own] = a @ p["s"][c].T
+        out[order] += parts
+        if grads is not None:
+            dstates[order] += back
         return out, dstates
 
     def train(self, stream: np.ndarray, rate: float = 0.01) -> None:
@@ -169,19 +179,28 @@ class Gru:
         order = np.argsort(-sizes, kind="stable")
         flat, firsts, sizes = np.concatenate(docs), (np.cumsum(sizes) - sizes)[order], sizes[order]
         total, h, at = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32), 0
+        held: list[tuple] = []
+
+        def add() -> None:
+            who, states, codes = (np.concatenate(x) for x in zip(*held))
+            total[:] += np.bincount(who, self.likelihood(states, codes)[0], len(total))
+            held.clear()
+
         while (live := int(np.searchsorted(-sizes, -at, "left"))) > 0:
             # a window ends where half of the documents have ended, so few steps are empty
             steps = int(min(128, max(8, sizes[live // 2] - at), sizes[0] - at))
+            place = at + np.arange(steps)[:, None]
             for s in range(0, live, STREAMS):
                 own = slice(s, min(live, s + STREAMS))
-                place = at + np.arange(steps)[:, None]
                 mask = place < sizes[own]
                 x = flat[np.where(mask, place + firsts[own], 0)].astype(np.int64)
                 states, h[own] = self.states(h[own], x)
-                got = np.zeros(mask.shape)
-                got[mask] = self.likelihood(states[mask], x[mask])[0]
-                total[own] += got.sum(0)
+                held.append((s + np.nonzero(mask)[1], states[mask], x[mask]))
+                if sum(len(x[0]) for x in held) > 60_000:
+                    add()
             at += steps
+        if held:
+            add()
         out = np.zeros(len(docs))
         out[order] = total
         return out
