@@ -46,12 +46,20 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def arrow_map(df: DataFrame, schema: str, each: Callable[[list[list]], list], state: Callable[[], object] | None = None) -> DataFrame:
-    """Map df batch by batch. each(columns[, state]) gets the columns as lists and returns the new columns."""
-    from pyspark.sql.types import StructType
+def arrow_map(df: DataFrame, schema: str, each: Callable[[list[list]], list], state: Callable[[], object] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Map df batch by batch. each(columns[, state]) gets the columns as lists and returns the new columns.
+
+    The columns named in carry are not given to each, unless they are also among the others by another name: they
+    follow its columns as they are, so each must return a row per row.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    names = df.columns
+    given = [i for i, n in enumerate(names) if n not in carry]
+    along = [names.index(n) for n in carry]
+    kinds = StructType([*StructType.fromDDL(schema).fields, *(StructField(n, df.schema[n].dataType) for n in carry)])
+    out = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = state() if state else None
@@ -60,12 +68,13 @@ def arrow_map(df: DataFrame, schema: str, each: Callable[[list[list]], list], st
             step = max(1, int(b.num_rows * STEP_BYTES / max(1, b.nbytes)))
             for i in range(0, b.num_rows, step):
                 part = b.slice(i, step)
-                cols = [c.to_pylist() for c in part.columns]
+                cols = [part.column(k).to_pylist() for k in given]
                 made = each(cols, held) if state else each(cols)
                 if made is not None:
+                    made = [*made, *(part.column(k).cast(out.field(n).type) for k, n in zip(along, carry))]
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, out)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kinds)
 
 
 #: Bytes of a record batch handled at once.
@@ -81,14 +90,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows up to which a side may be broadcast by small_side_join.
-BROADCAST_ROWS = 200_000
-
-
-def small_side_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a written right side of narrow rows: broadcast if it has at most `most` rows, else by shuffle with adaptive skew splitting."""
-    few = right.limit(most + 1).count() <= most
-    return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...]]:
+    """doc_id and text of docs, with further columns to carry along under names that clash with none."""
+    named = tuple(f"carried_{n}" for n in carry)
+    return docs.select("doc_id", "text", *[F.col(f"`{n}`").alias(m) for n, m in zip(carry, named)]), named
 
 
 def flat_sum(df: DataFrame, fan: int = 32):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_map, flat_sum, held_out, table, written
+from folio.llm.common import arrow_map, carried, flat_sum, held_out, table, written
 
 STATS = 20
 LETTERS = np.zeros(256, bool)
@@ -49,10 +49,11 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stats array<double> of each row."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stats array<double> of each row, and the columns of carry as carried_<name>."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), f"doc_id {kind}, stats array<double>", lambda c: [c[0], [statistics(t) for t in c[1]]])
+    rows, named = carried(docs, carry)
+    return arrow_map(rows, f"doc_id {kind}, stats array<double>", lambda c: [c[0], [statistics(t) for t in c[1]]], carry=named)
 
 
 def isotonic(bins: dict[int, tuple[float, float]], n_bins: int) -> np.ndarray:
@@ -119,19 +120,21 @@ def fit_scores(stats: DataFrame, labelled: DataFrame, dim: int = 192, gamma: flo
     return lambda x: curve[binned(rff(x) @ beta)]
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; labels(doc_id, quality) teach where the document is not held out."""
-    stats = written(features(docs), "quality-stats")
+def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for each document, and the columns of carry; labels(doc_id, quality) teach where the document is not held out."""
+    stats = written(features(docs, carry), "quality-stats")
     labelled = labels.where(~held_out("doc_id", modulus, remainder)).select("doc_id", F.col("quality").alias("label"))
-    model = fit_scores(stats, labelled)
+    model = fit_scores(stats.select("doc_id", "stats"), labelled)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(cols):
         score = model(np.array(cols[1], dtype=float).reshape(-1, STATS))
         return [cols[0], score.tolist(), (score >= 0.5).astype(int).tolist()]
 
-    return arrow_map(stats, f"doc_id {kind}, score double, predicted int", each).select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", "predicted")
+    scored = arrow_map(stats, f"doc_id {kind}, score double, predicted int", each, carry=tuple(f"carried_{n}" for n in carry))
+    return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", "predicted", *[c for c in scored.columns if c.startswith("carried_")])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its quality score."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_map, flat_sum, held_out, table, written
+from folio.llm.common import arrow_map, carried, flat_sum, held_out, table, written
 from folio.llm.quality import isotonic
 
 #: Letters that a sign may stand for (fixed values).
@@ -189,8 +189,8 @@ def teachers(labels: DataFrame, modulus: int, remainder: int) -> tuple[np.ndarra
     return np.ascontiguousarray(ids[order]).astype(np.int64), (y[order] > 0).astype(np.int8)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_restored for each row; labels(doc_id, toxic) teach where the document is not held out."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_restored for each row, and the columns of carry as carried_<name>; labels(doc_id, toxic) teach where the document is not held out."""
     model = CharModel(char_counts(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids, marks = teachers(labels, modulus, remainder)
@@ -231,7 +231,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remain
             out[2].append(restored)
         return out
 
-    scored = written(arrow_map(docs.select("doc_id", "text"), f"doc_id {kind}, raw double, n_restored long", raw, dict), "toxicity")
+    rows, named = carried(docs, carry)
+    scored = written(arrow_map(rows, f"doc_id {kind}, raw double, n_restored long", raw, dict, carry=named), "toxicity")
     to_bin = F.least(F.lit(BINS - 1), F.floor(F.col("raw") * 8).cast("int"))
 
     def taught(cols):
@@ -242,8 +243,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remain
     found = arrow_map(scored.select(F.col("doc_id").cast("long"), to_bin.alias("bin")), "bin int, label int", taught)
     bins = {r.bin: (r.n, r.pos) for r in found.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).collect()}
     curve = isotonic(bins, BINS) if bins else np.zeros(BINS)
-    result = scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), F.element_at(F.array(*[F.lit(float(x)) for x in curve]), to_bin + 1).alias("score"), "n_restored")
-    return result.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
+    result = scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), F.element_at(F.array(*[F.lit(float(x)) for x in curve]), to_bin + 1).alias("score"), "n_restored", *named)
+    return result.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored", *named)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

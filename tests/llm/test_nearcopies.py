@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from folio.llm import nearcopies
+from folio.llm import nearcopies, quality, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +66,16 @@ def test_one_row_of_each_class(spark, sf):
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), sf).collect()
     assert sorted(r.text for r in out) == ["a b c d e f", "other words", "x y"]
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], COLUMNS), sf).count() == 0
+
+
+def test_each_row_has_its_own_verdict(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit(1))
+    for stage, scores, keep in ((corpus_pipeline.quality, "quality_scores", 1), (corpus_pipeline.toxicity, "toxicity_scores", 0)):
+        labels = spark.read.parquet(f"{sf}/labels.parquet")
+        made = (quality.quality_scores if scores == "quality_scores" else toxicity.toxicity_scores)(docs, labels)
+        want = sorted(r.doc_id for r in made.collect() if r.predicted == keep)
+        assert sorted(r.doc_id for r in stage(spark, docs, sf).collect()) == want
+    ids = docs.selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars").limit(300)
+    out = corpus_pipeline.quality(spark, ids, sf)
+    assert out.columns == corpus_pipeline.COLUMNS and 0 < out.count() <= 300
