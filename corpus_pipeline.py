@@ -18,19 +18,23 @@ ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in verdicts; a null doc_id counts as an id."""
-    return docs.join(verdicts.select(F.col("doc_id").alias("chosen_id")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select(*COLUMNS)
+#: What a scoring pass carries along beside doc_id, so that each row's own verdict decides and no text is joined.
+CARRIED = tuple(c for c in COLUMNS if c != "doc_id")
+
+
+def chosen(scored: DataFrame, verdict: str) -> DataFrame:
+    """The rows of documents with this verdict, of what a scoring pass carried along."""
+    return scored.where(verdict).select("doc_id", *[F.col(f"carried_{c}").alias(c) for c in CARRIED])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good."""
-    return chosen(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents that the quality classifier predicts as good; rows are judged one by one, also where ids repeat or are null."""
+    return chosen(quality_scores(docs, table(spark, sf_dir, "labels"), carry=CARRIED), "predicted = 1")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
-    return chosen(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    """Documents that are not predicted toxic; rows are judged one by one."""
+    return chosen(toxicity_scores(docs, table(spark, sf_dir, "labels"), carry=CARRIED), "predicted = 0")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,11 @@ STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over all of documents, each written and read again; columns other than COLUMNS are left out from the start.
+
+    Null texts are empty texts to every stage; an empty table gives no rows.
+    """
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
