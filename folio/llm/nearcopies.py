@@ -4,8 +4,11 @@ Two texts are linked when the sets of their SHINGLE-word shingles have Jaccard s
 SIMILARITY. Sets in one order of all shingles that are that similar share a shingle among their first
 n - ceil(SIMILARITY n) + 1 (prefix filter), so pairs that meet under such a key are all that can be linked.
 Any order gives the same links; shingles found often go last, so that few sets meet without being
-similar. Each pair that meets is confirmed by its whole sets, unless both are already in one class. Pairs
-found before by other means (simhash.py) are looked at first.
+similar. Pairs whose sizes or whose places of the key in that order leave too few shingles to share are
+refuted at once; each other pair that meets is confirmed by its whole sets, unless both are already in one
+class. Looked at first are the pairs that simhash.py finds, and under each key those of the set whose SimHash
+is nearest to the majority of the key's sets: the original of a large group of copies links its group
+before copies could meet each other.
 
 Defined results: a text of up to SHINGLE words is one shingle; a null, empty or blank text has none and
 is a copy of any other such text; words are ASCII-lowered and cut at ASCII white space. Shingles are
@@ -65,24 +68,36 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SIMILARITY.denominator >= SIMILARITY.numerator * (len(a) + len(b) - both)
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashed shingles."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[i : i + 65536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row, digest, hashes for each row; hashes only where the task has not met the digest before."""
+    """doc_id, row, digest, hashes, mark for each row; hashes and their SimHash only where the task has not met the digest before."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(cols, seen):
-        out = [cols[0], cols[1], [], []]
+        out = [cols[0], cols[1], [], [], []]
         for t in cols[2]:
-            s = shingles(t).tobytes()
+            own = shingles(t)
+            s = own.tobytes()
             d = xxhash.xxh64_intdigest(s) - (1 << 63)
             out[2].append(d)
             out[3].append(None if d in seen else s)
+            out[4].append(None if d in seen else of_hashes(own) - (1 << 63))
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(d)
         return out
 
     rows = docs.select("doc_id", F.xxhash64(*docs.columns).alias("row"), "text")
-    return arrow_map(rows, f"doc_id {kind}, row long, digest long, hashes binary", each, set)
+    return arrow_map(rows, f"doc_id {kind}, row long, digest long, hashes binary, mark long", each, set)
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -114,12 +129,12 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, often: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """key, digest, n: the first shingles of each set in the common order."""
+    """KEYED rows: the first shingles of each set in the common order, with their places in it."""
 
     def run(batches):
         for b in batches:
-            keys, digests, sizes = [], [], []
-            for d, h in zip(b.column(0).to_pylist(), b.column(1)):
+            parts = []
+            for d, h, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 if not h.is_valid or not len(x := np.frombuffer(h.as_py(), np.uint64)):
                     continue
                 most = prefix_length(len(x))
@@ -129,13 +144,15 @@ def prefixes(sets: DataFrame, often: np.ndarray, ranks: np.ndarray) -> DataFrame
                     known = often[at] == x
                     if known.any():
                         x = np.concatenate([x[~known], x[known][np.argsort(ranks[at[known]])]])
-                keys.append(x[:most])
-                digests.append(np.full(most, d, np.int64))
-                sizes.append(np.full(most, len(x), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(digests)), pa.array(np.concatenate(sizes))], names=["key", "digest", "n"])
+                parts.append((x[:most].view(np.int64), np.full(most, d), np.full(most, len(x), np.int32), np.arange(most, dtype=np.int32), np.full(most, m)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["key", "digest", "n", "place", "mark"])
+
+    return sets.select("digest", "hashes", "mark").mapInArrow(run, KEYED)
 
-    return sets.select("digest", "hashes").mapInArrow(run, "key long, digest long, n int")
+
+#: A key of a set: the set's digest and size, the key's place in it, the set's SimHash.
+KEYED = "key long, digest long, n int, place int, mark long"
 
 
 def by_runs(rows: DataFrame, schema: str, each) -> DataFrame:
@@ -177,41 +194,68 @@ def by_runs(rows: DataFrame, schema: str, each) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def within_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes, the first the smaller, can be similar."""
-    return small.astype(np.int64) * SIMILARITY.denominator >= large.astype(np.int64) * SIMILARITY.numerator
+def possible(n: np.ndarray, place: np.ndarray, i: int) -> np.ndarray:
+    """Which sets of a key can be similar to its i-th, by sizes and by the key's places: 9 shared >= 4 sizes, for 0.8."""
+    own, at = n.astype(np.int64), place.astype(np.int64)
+    most = np.minimum(at, at[i]) + np.minimum(own - at, own[i] - at[i])
+    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+    return (p + q) * most >= p * (own + own[i])
 
 
 def fresh(cols):
     """The distinct sets of a key that two or more sets hold."""
     digest, at = np.unique(cols[1], return_index=True)
     if len(digest) > 1:
-        yield cols[0][at], digest, cols[2][at]
+        yield [c[at] for c in cols]
 
 
 def stars(cols):
-    """Pairs of a key's smallest set with those its size allows, then of the smallest one left, and so on."""
-    order = np.argsort(cols[2], kind="stable")
-    digest, n = cols[1][order], cols[2][order]
-    at = 0
-    while at < len(n):
-        to = at + int(within_size(np.broadcast_to(n[at], len(n) - at), n[at:]).sum())
-        if to > at + 1:
-            yield np.full(to - at - 1, digest[at]), digest[at + 1 : to]
-        at = to
+    """Pairs of the set nearest to the majority of a key's SimHashes with all it may be similar to, then of those left, and so on."""
+    _, digest, n, place, mark = cols
+    marks = mark.view(np.uint64) ^ np.uint64(1 << 63)
+    left = np.arange(len(n))
+    while len(left) > 1:
+        bits = np.unpackbits(np.ascontiguousarray(marks[left]).view(np.uint8).reshape(-1, 8), axis=1)
+        middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(left)).view(np.uint64)[0]
+        at = np.lexsort((digest[left], np.bitwise_count(marks[left] ^ middle)))[0]
+        near = possible(n[left], place[left], at)
+        near[at] = False
+        if near.any():
+            yield np.full(int(near.sum()), digest[left[at]]), digest[left[near]]
+        near[at] = True
+        left = left[~near]
 
 
 def across(cols):
-    """Pairs of a key's sets that are in different classes, as sizes allow."""
-    if (cols[3] == cols[3][0]).all():
+    """Pairs of a key's sets that are in different classes and may be similar."""
+    digest, n, place, of, bits = cols[1:6]
+    if (of == of[0]).all():
         return
-    order = np.argsort(cols[2], kind="stable")
-    digest, n, of = cols[1][order], cols[2][order], cols[3][order]
+    bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
     for i in range(len(n) - 1):
-        to = i + int(within_size(np.broadcast_to(n[i], len(n) - i), n[i:]).sum())
-        other = digest[i + 1 : to][of[i + 1 : to] != of[i]]
+        other = i + np.flatnonzero(possible(n[i:], place[i:], 0) & (of[i:] != of[i]))
+        other = other[may_share(n, bits, i, other)]
         if len(other):
-            yield np.full(len(other), digest[i]), other
+            yield np.full(len(other), digest[i]), digest[other]
+
+
+#: Bits of a set's bitmap of shingles.
+BITS = 1024
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle, by its hash."""
+    out = np.zeros(BITS, bool)
+    out[(hashes >> np.uint64(20)) % np.uint64(BITS)] = True
+    return np.packbits(out).tobytes()
+
+
+def may_share(n: np.ndarray, bits: np.ndarray, i: int, other: np.ndarray) -> np.ndarray:
+    """Whether the others can share enough shingles with the i-th set: a bit that one lacks is a shingle that it lacks."""
+    own, size = bits[i], n[other].astype(np.int64)
+    here, there = int(n[i]) - np.bitwise_count(own & ~bits[other]).sum(1, dtype=np.int64), size - np.bitwise_count(bits[other] & ~own).sum(1, dtype=np.int64)
+    p, q = SIMILARITY.numerator, SIMILARITY.denominator
+    return (p + q) * np.minimum(here, there) >= p * (size + int(n[i]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,13 +285,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, component: the class of each digest that has a link to another. candidates: pairs (a, b) looked at first."""
     rows = prefixes(sets, *frequent(sets)).repartition("key").sortWithinPartitions("key")
-    shared = written(by_runs(rows, "key long, digest long, n int", fresh), "copies-keys")
+    shared = written(by_runs(rows, KEYED, fresh), "copies-keys")
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
-    first = written(by_runs(sort(shared), "a long, b long", stars).unionByName(candidates(sets)).distinct(), "copies-stars")
+    first = written(by_runs(sort(shared), "a long, b long", stars).unionByName(candidates(sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-stars")
     links = written(confirmed(first, sets), "copies-links")
     known = written(components(links, "copies-first"), "copies-known")
-    placed = shared.join(known.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "n", F.coalesce("component", "digest").alias("component"))
-    second = written(by_runs(sort(placed), "a long, b long", across).distinct().join(first, ["a", "b"], "left_anti"), "copies-across")
+    maps = arrow_map(sets.where("hashes is not null").select("digest", "hashes"), "digest long, bits binary", lambda c: [c[0], [bitmap(np.frombuffer(h, np.uint64)) for h in c[1]]]).dropDuplicates(["digest"])
+    of = maps.join(known.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("component", "digest").alias("component"), "bits")
+    placed = shared.join(of, "digest").select("key", "digest", "n", "place", "component", "bits")
+    second = written(by_runs(sort(placed), "a long, b long", across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "copies-across")
     more = written(confirmed(second, sets), "copies-more")
     return written(components(links.unionByName(more), "copies-all"), "copies-classes")
 

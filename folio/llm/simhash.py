@@ -55,16 +55,6 @@ def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def of_hashes(hashes: np.ndarray) -> int:
-    """64-bit SimHash of hashed shingles."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65536):
-        ones += np.unpackbits(np.ascontiguousarray(hashes[i : i + 65536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE) -> DataFrame:
     """doc_id, fp long (the 64 bits, signed)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -260,8 +250,7 @@ def near_duplicates(docs: DataFrame, most: int = 2) -> DataFrame:
 
     def first(sets: DataFrame) -> DataFrame:
         """a, b: digests whose fingerprints the index links."""
-        marks = arrow_map(sets.where("hashes is not null").select("digest", "hashes"), "rep long, fp long", lambda c: [c[0], np.array([of_hashes(np.frombuffer(h, np.uint64)) for h in c[1]], np.uint64).view(np.int64)])
-        marks = written(marks.dropDuplicates(["rep"]), "simhash-sets")
+        marks = written(sets.where("hashes is not null").select(F.col("digest").alias("rep"), F.col("mark").bitwiseXOR(F.lit(-(1 << 63))).alias("fp")).distinct(), "simhash-sets")
         distinct = written(marks.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-distinct")
         shared = marks.join(distinct.withColumnRenamed("rep", "head").hint("merge"), "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
         return links(distinct, most).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).unionByName(shared)

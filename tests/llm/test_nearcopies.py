@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -49,6 +50,20 @@ def corpus(spark, sf):
     return rows + [(10**6 + i, t, "en", "s", 1) for i, t in enumerate(made)]
 
 
+def test_only_pairs_that_cannot_be_similar_are_refuted():
+    r = random.Random(9)
+    for _ in range(300):
+        base = r.sample(range(60), r.randrange(4, 40))
+        a = sorted({x if r.random() > 0.1 else r.randrange(60) for x in base})
+        b = sorted({x if r.random() > 0.1 else r.randrange(60) for x in base})
+        n = np.array([len(a), len(b)])
+        similar = 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+        keys = [k for k in a[: nearcopies.prefix_length(len(a))] if k in b[: nearcopies.prefix_length(len(b))]]
+        bits = np.array([np.frombuffer(nearcopies.bitmap(np.array(x, np.uint64) << np.uint64(20)), np.uint64) for x in (a, b)])
+        assert not similar or nearcopies.may_share(n, bits, 0, np.array([1]))[0]
+        assert not similar or keys and all(nearcopies.possible(n, np.array([a.index(k), b.index(k)]), 0)[1] for k in keys)
+
+
 def test_stage_equals_brute_force(spark, sf, monkeypatch):
     rows = corpus(spark, sf)
     want, near = brute(rows)
