@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tags whose bodies are reasoning.
-REASONING_TAGS = ("think", "thinking", "thought", "reasoning", "reflection")
-
 
 def collapse_newlines(c: Column) -> Column:
     """White-space-only lines become empty; three or more line ends become two."""
@@ -18,12 +15,6 @@ def plain_quotes(c: Column) -> Column:
     return F.translate(c, "“”„«»‘’‚‹›", "\"\"\"\"\"'''''")
 
 
-def without_reasoning(c: Column) -> Column:
-    for tag in REASONING_TAGS:
-        c = F.regexp_replace(c, f"(?is)<{tag}>.*?</{tag}>", "")
-    return F.trim(c)
-
-
 #: What a text must hold to count as each kind, in Java's dialect.
 CODE_BLOCK = "(?dm)^```(?s:.*?)^```$"
 TABLE_LINE = r"(?dm)^\|.*\|.*$"
@@ -45,9 +36,3 @@ def similarity(a: Column, b: Column) -> Column:
 
 def truncated(c: Column, n: int) -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
-
-
-def error_class(c: Column) -> Column:
-    low = F.lower(c)
-    has = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in words], F.lit(False))
-    return F.when(has("timeout", "deadline"), "timeout").when(has("rate limit", "429"), "rate_limit").when(has("connection", "network"), "network").when(has("unauthorized", "401", "403"), "auth").otherwise("unknown")

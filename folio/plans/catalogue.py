@@ -52,10 +52,10 @@ def greedy_groups(spark, sf_dir):
     return g.select("doc_id", F.explode("nodes").alias("s")).groupBy("doc_id", F.col("s.grp").alias("group_id")).agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.octet_length("s.text").cast("long")).alias("bytes"))
 
 
-@query(LINES + ", p AS (SELECT * FROM l WHERE strlen(text) >= 2 AND regexp_matches(text, '[A-Za-z]')) SELECT lang, count(*) AS kept FROM p GROUP BY lang")
+@query(LINES + ", p AS (SELECT * FROM l WHERE strlen(text) >= 2 AND regexp_matches(text, '[A-Za-z0-9]') AND NOT regexp_matches(text, '^[0-9]+$')) SELECT lang, count(*) AS kept FROM p GROUP BY lang")
 def prefilter_nodes(spark, sf_dir):
     l = N.lines(table(spark, sf_dir, "documents"))
-    return l.where((F.octet_length("text") >= 2) & F.col("text").rlike("[A-Za-z]")).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    return l.where((F.octet_length("text") >= 2) & F.col("text").rlike("[A-Za-z0-9]") & ~F.col("text").rlike("^[0-9]+$")).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query(LINES + "SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM l WHERE trim(text, ' ') <> '' GROUP BY text")
@@ -63,11 +63,6 @@ def dedup_nodes(spark, sf_dir):
     return N.lines(table(spark, sf_dir, "documents")).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT doc_id, md5(concat(lang, '|', source, '|', text)) AS cache_key FROM documents")
-def cache_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat("lang", F.lit("|"), "source", F.lit("|"), "text")).alias("cache_key"))
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')) AS n_ipv4, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')) AS n_email FROM documents")
 def protect_counts(spark, sf_dir):
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
@@ -84,11 +79,6 @@ def quote_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.plain_quotes(F.concat(F.lit("“"), "text", F.lit("”"))).alias("text"))
 
 
-@query("SELECT doc_id, trim(text, ' ') AS text FROM documents")
-def reasoning_strip(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.without_reasoning(F.concat(F.lit("<think>a\n"), "lang", F.lit("</think>"), "text")).alias("text"))
-
-
 @query("SELECT doc_id, CASE WHEN length(text) > 50 THEN concat(left(text, 50), '...') ELSE text END AS shown, length(text) AS n_chars FROM documents")
 def truncate_display(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncated(F.col("text"), 50).alias("shown"), F.char_length("text").cast("long").alias("n_chars"))
@@ -105,11 +95,6 @@ def content_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.content_type(F.col("text")).alias("kind"))
 
 
-@query("SELECT lang, source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, avg(n_chars) AS mean_chars, max(n_chars) AS most_chars FROM documents GROUP BY lang, source")
-def langpair_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"), F.avg("n_chars").alias("mean_chars"), F.max("n_chars").alias("most_chars"))
-
-
 @query("SELECT event_type, count(*) AS requests, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY event_type")
 def provider_metrics(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
@@ -131,12 +116,6 @@ def recent_top_20(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
 
 
-@query("SELECT e.event_id, e.user_id FROM events e WHERE e.event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'error')")
-def missing_nodes(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return e.where("event_type <> 'error'").join(e.where("event_type = 'error'").select("user_id"), "user_id", "left_anti").select("event_id", "user_id")
-
-
 @query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before_role, length(text) AS n_chars FROM conversations")
 def turn_context(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -147,9 +126,3 @@ def turn_context(spark, sf_dir):
 def html_head(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?i)<!DOCTYPE[^>]*>", 0).alias("doctype"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
 
-
-@query("""WITH m AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'Rate limit 429' WHEN 'click' THEN 'deadline exceeded' WHEN 'view' THEN 'connection reset' ELSE 'odd' END AS message FROM events)
-SELECT event_id, CASE message WHEN 'Rate limit 429' THEN 'rate_limit' WHEN 'deadline exceeded' THEN 'timeout' WHEN 'connection reset' THEN 'network' ELSE 'unknown' END AS kind FROM m""")
-def error_class(spark, sf_dir):
-    message = F.when(F.col("event_type") == "error", "Rate limit 429").when(F.col("event_type") == "click", "deadline exceeded").when(F.col("event_type") == "view", "connection reset").otherwise("odd")
-    return table(spark, sf_dir, "events").select("event_id", T.error_class(message).alias("kind"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from folio.plans import catalogue, polishing, texts  # noqa: F401
+from folio.plans import catalogue, flow, pages, polishing, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
