@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from folio.llm import merkle, warc
 
 
@@ -89,7 +91,37 @@ def test_normaliser_keeps_records_and_index():
     recs = [warc.record("response", "http://a/é", f"urn:page:{i}", b"x" * i + b"\r\n\r\nWARC/1.1", "d", i) for i in range(5)]
     data, index = warc.normalised(gzip.compress(b"".join(recs)))
     assert [gzip.decompress(data[o : o + n]) for o, n in index] == recs
-    assert warc.read_at(data, *index[3])[1] == b"xxx\r\n\r\nWARC/1.1"
+    head, payload = warc.read_at(data, *index[3])
+    assert payload == b"xxx\r\n\r\nWARC/1.1" and head["warc-date"] == warc.DATE and head["content-type"] == "application/http; msgtype=response"
+
+
+def test_archives_as_files(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    normal = warc.normalise(warc.archives(warc.with_roles(pages)))
+    made = warc.exported(normal, f"file://{tmp_path}/out").collect()
+    n = 0
+    for r in made:
+        data = (tmp_path / "out" / r.archive).read_bytes()
+        places = [tuple(map(int, x.split())) for x in (tmp_path / "out" / f"{r.archive}.idx").read_text().splitlines()]
+        assert len(data) == r.bytes and sum(n for _, n in places) == len(data)
+        whole = gzip.decompress(data)
+        assert b"".join(gzip.decompress(data[o : o + k]) for o, k in places) == whole and whole.count(b"WARC/1.1\r\n") == len(places) == r.records
+        n += r.records
+    assert n == pages.count()
+
+
+def test_revisits_are_checked(spark):
+    read = spark.createDataFrame([(1, 200, "d", "response", None), (2, 200, "d", "revisit", 1)], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert warc.checked(read).count() == 2
+    for wrong in ("'e'", "null"):
+        with pytest.raises(ValueError):
+            warc.checked(read.selectExpr("page_id", "payload_bytes", f"if(page_id = 1, {wrong}, payload_digest) payload_digest", "record_type", "refers_to"))
+
+
+def test_null_ids_have_records_of_their_own(spark):
+    pages = spark.createDataFrame([(None, "u", "a"), (None, "u", "b" * 200), (5, "u", "b" * 200), (None, None, None)], "page_id long, url string, html string")
+    out = warc.warc_round_trip(pages).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in out) == [(0, 0, "response", 0), (0, 1, "response", 0), (0, 200, "revisit", 5), (5, 200, "response", 0)]
 
 
 def test_warc_roles(spark, sf):
