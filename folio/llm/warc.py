@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table, written
+from folio.llm.common import dropped, table, written
 
 LEAST = 100
 #: Bytes of records after which an archive is closed.
@@ -218,7 +218,9 @@ def exported(normal: DataFrame, uri: str) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write archives of all pages, normalise them and read every record back."""
     stored = written(archives(with_roles(pages)), "warc")
-    return checked(written(read_back(written(normalise(stored), "warc-normal")), "warc-read"))
+    normal = written(normalise(stored), "warc-normal")
+    dropped(stored)
+    return checked(written(read_back(normal), "warc-read"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
