@@ -56,7 +56,23 @@ def nouns_and_chains(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", Z.shorter_chains(Z.proper_nouns(noisy())).alias("text"))
 
 
-@query()
+CHAIN_SQL = "regexp_replace({}, '(\\w+)的(\\w+)的(\\w+)', '\\1\\2\\3', 'g')"
+
+
+def nouns_sql(column: str) -> str:
+    for wrong, right in Z.PROPER_NOUNS.items():
+        column = f"replace({column}, '{wrong}', '{right}')"
+    return column
+
+
+POLISHED_SQL = (
+    f"WITH a AS (SELECT doc_id, {CLEAN_SQL} AS t FROM documents), b AS (SELECT doc_id, {MARKS_SQL.format('t')} AS t FROM a), c AS (SELECT doc_id, {replaced_sql('t', Z.SPACING)} AS t FROM b), "
+    f"w AS (SELECT doc_id, {WORDS.replace('text', 't')} AS words FROM c), d AS (SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: i = 1 OR words[i] <> words[i - 1]), lambda i: words[i]), ' '), '') AS t FROM w) "
+    f"SELECT doc_id, {CHAIN_SQL.format(nouns_sql('t'))} AS text FROM d"
+)
+
+
+@query(POLISHED_SQL)
 def polished(spark, sf_dir):
     """All steps of the clean-up in order."""
     return table(spark, sf_dir, "documents").select("doc_id", Z.polished(noisy()).alias("text"))
