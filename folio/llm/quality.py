@@ -49,11 +49,10 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, stats array<double> of each row, and the columns of carry as carried_<name>."""
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, stats array<double> of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, named = carried(docs, carry)
-    return arrow_map(rows, f"doc_id {kind}, stats array<double>", lambda c: [c[0], [statistics(t) for t in c[1]]], carry=named)
+    return arrow_map(docs.select("doc_id", "text"), f"doc_id {kind}, stats array<double>", lambda c: [c[0], [statistics(t) for t in c[1]]])
 
 
 def isotonic(bins: dict[int, tuple[float, float]], n_bins: int) -> np.ndarray:
@@ -122,16 +121,21 @@ def fit_scores(stats: DataFrame, labelled: DataFrame, dim: int = 192, gamma: flo
 
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for each document, and the columns of carry; labels(doc_id, quality) teach where the document is not held out."""
-    stats = written(features(docs, carry), "quality-stats")
+    stats = written(features(docs), "quality-stats")
     labelled = labels.where(~held_out("doc_id", modulus, remainder)).select("doc_id", F.col("quality").alias("label"))
     model = fit_scores(stats.select("doc_id", "stats"), labelled)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def each(cols):
-        score = model(np.array(cols[1], dtype=float).reshape(-1, STATS))
-        return [cols[0], score.tolist(), (score >= 0.5).astype(int).tolist()]
+    def judged(ids, rows):
+        score = model(np.array(rows, dtype=float).reshape(-1, STATS))
+        return [ids, score.tolist(), (score >= 0.5).astype(int).tolist()]
 
-    scored = arrow_map(stats, f"doc_id {kind}, score double, predicted int", each, carry=tuple(f"carried_{n}" for n in carry))
+    out = f"doc_id {kind}, score double, predicted int"
+    if carry:  # what is carried along is not written with the statistics: these are made of the texts once more instead
+        rows, named = carried(docs, carry)
+        scored = arrow_map(rows, out, lambda c: judged(c[0], [statistics(t) for t in c[1]]), carry=named)
+    else:
+        scored = arrow_map(stats, out, lambda c: judged(*c))
     return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", "predicted", *[c for c in scored.columns if c.startswith("carried_")])
 
 

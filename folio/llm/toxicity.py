@@ -223,28 +223,33 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remain
     chosen = seen.where((F.col("a") >= LEAST_DOCS) & (F.col("term") != "")).select("term", F.log(a / b).alias("w"), chi.alias("chi")).where("chi > 50 and w > 2.3")
     lexicon = {r.term: r.w for r in chosen.collect()} if pos else {}  # each term is in LEAST_DOCS of TEACHERS rows
 
-    def raw(cols, memory):
+    def raw(text, memory) -> tuple[float, int]:
+        found, restored = terms(text, model, memory)
+        return float(sum(sorted(lexicon[x] for x in found & lexicon.keys()))), restored
+
+    def to_bin(x: float) -> int:
+        return int(min(BINS - 1, x * 8 // 1))
+
+    def taught(cols, memory):
+        rows = [(to_bin(raw(t, memory)[0]), y) for d, t in zip(*cols) if (y := label(d)) >= 0 and d % CALIBRATE == 0]
+        return [[x for x, _ in rows], [y for _, y in rows]]
+
+    # only the teachers kept apart are scored for the curve; so no text is written before the one pass over all rows
+    found = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), "bin int, label int", taught, dict)
+    bins = {r.bin: (r.n, r.pos) for r in found.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).collect()}
+    curve = isotonic(bins, BINS) if bins else np.zeros(BINS)
+
+    def judged(cols, memory):
         out = [cols[0], [], []]
         for t in cols[1]:
-            found, restored = terms(t, model, memory)
-            out[1].append(float(sum(sorted(lexicon[x] for x in found & lexicon.keys()))))
+            x, restored = raw(t, memory)
+            out[1].append(float(curve[to_bin(x)]))
             out[2].append(restored)
         return out
 
     rows, named = carried(docs, carry)
-    scored = written(arrow_map(rows, f"doc_id {kind}, raw double, n_restored long", raw, dict, carry=named), "toxicity")
-    to_bin = F.least(F.lit(BINS - 1), F.floor(F.col("raw") * 8).cast("int"))
-
-    def taught(cols):
-        y = [label(d) for d in cols[0]]
-        keep = [i for i, (d, v) in enumerate(zip(cols[0], y)) if v >= 0 and d % CALIBRATE == 0]
-        return [[cols[1][i] for i in keep], [y[i] for i in keep]]
-
-    found = arrow_map(scored.select(F.col("doc_id").cast("long"), to_bin.alias("bin")), "bin int, label int", taught)
-    bins = {r.bin: (r.n, r.pos) for r in found.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).collect()}
-    curve = isotonic(bins, BINS) if bins else np.zeros(BINS)
-    result = scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), F.element_at(F.array(*[F.lit(float(x)) for x in curve]), to_bin + 1).alias("score"), "n_restored", *named)
-    return result.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored", *named)
+    scored = arrow_map(rows, f"doc_id {kind}, score double, n_restored long", judged, dict, carry=named)
+    return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored", *named)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
