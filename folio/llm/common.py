@@ -29,11 +29,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/folio/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a write's shuffle files as it ends; else they stay on the executors' disks until the driver collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors cost no more than their own tasks."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_map, written
+from folio.llm.common import arrow_map, dropped, written
 from folio.llm.components import components
 
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
@@ -79,25 +79,25 @@ def of_hashes(hashes: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row, digest, hashes, mark for each row; hashes and their SimHash only where the task has not met the digest before."""
+    """doc_id, row, digest, hashes, mark, n, bits for each row; hashes, their SimHash, number and bitmap only where the task has not met the digest before."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(cols, seen):
-        out = [cols[0], cols[1], [], [], []]
+        out = [cols[0], cols[1], [], [], [], [], []]
         for t in cols[2]:
             own = shingles(t)
             s = own.tobytes()
             d = xxhash.xxh64_intdigest(s) - (1 << 63)
             out[2].append(d)
-            out[3].append(None if d in seen else s)
-            out[4].append(None if d in seen else of_hashes(own) - (1 << 63))
+            for to, x in zip(out[3:], (None,) * 4 if d in seen else (s, of_hashes(own) - (1 << 63), len(own), bitmap(own))):
+                to.append(x)
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(d)
         return out
 
     rows = docs.select("doc_id", F.xxhash64(*docs.columns).alias("row"), "text")
-    return arrow_map(rows, f"doc_id {kind}, row long, digest long, hashes binary, mark long", each, set)
+    return arrow_map(rows, f"doc_id {kind}, row long, digest long, hashes binary, mark long, n int, bits binary", each, set)
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -226,6 +226,16 @@ def stars(cols):
         left = left[~near]
 
 
+#: A key of a set of a class.
+PLACED = "key long, digest long, n int, place int, component long"
+
+
+def unlike(cols):
+    """The sets of a key that holds sets of different classes."""
+    if not (cols[4] == cols[4][0]).all():
+        yield cols
+
+
 def across(cols):
     """Pairs of a key's sets that are in different classes and may be similar."""
     digest, n, place, of, bits = cols[1:6]
@@ -252,17 +262,47 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 def may_share(n: np.ndarray, bits: np.ndarray, i: int, other: np.ndarray) -> np.ndarray:
     """Whether the others can share enough shingles with the i-th set: a bit that one lacks is a shingle that it lacks."""
-    own, size = bits[i], n[other].astype(np.int64)
-    here, there = int(n[i]) - np.bitwise_count(own & ~bits[other]).sum(1, dtype=np.int64), size - np.bitwise_count(bits[other] & ~own).sum(1, dtype=np.int64)
+    return enough(n[i : i + 1], bits[i : i + 1], n[other], bits[other])
+
+
+def enough(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with these bitmaps can share enough, row by row."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    here, there = n - np.bitwise_count(bits & ~others).sum(1, dtype=np.int64), m - np.bitwise_count(others & ~bits).sum(1, dtype=np.int64)
     p, q = SIMILARITY.numerator, SIMILARITY.denominator
-    return (p + q) * np.minimum(here, there) >= p * (size + int(n[i]))
+    return (p + q) * np.minimum(here, there) >= p * (n + m)
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps do not refute, written; so whole sets move for these alone."""
+    maps = sets.where("bits is not null").select("digest", "n", "bits").dropDuplicates(["digest"])
+    ends = [maps.select(F.col("digest").alias(e), F.col("n").alias(f"n_{e}"), F.col("bits").alias(f"bits_{e}")) for e in ("a", "b")]
+    met = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+
+    def run(batches):
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5))
+            live = enough(b.column(2).to_numpy(), one, b.column(4).to_numpy(), two)
+            yield b.select(["a", "b"]).filter(pa.array(live))
+
+    return written(met.mapInArrow(run, "a long, b long"), "copies-plausible")
+
+
+#: Digests (8 bytes each) that every task is given, so that not all sets are dealt out; more of them are met by sorting. Neither changes a result.
+FEW = 1_000_000
+
+
+def of_these(sets: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest, hashes: one row for each of these digests."""
+    ends = written(digests.distinct(), "copies-ends")
+    side = F.broadcast(ends) if ends.count() <= FEW else ends.hint("merge")
+    return sets.where("hashes is not null").select("digest", "hashes").join(side, "digest", "left_semi").dropDuplicates(["digest"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    whole = sets.where("hashes is not null")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    used = written(whole.join(ends, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "hashes"), "copies-used")
+def confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """u, v: the pairs (a, b) whose sets are similar, written."""
+    pairs = plausible(pairs, sets)
+    used = written(of_these(sets, pairs.select(F.explode(F.array("a", "b")).alias("digest"))), "copies-used")
     heads = used.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi").select(F.col("digest").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
     rows = pairs.join(used.withColumnRenamed("digest", "b"), "b").select("a", "b", "hashes").unionByName(heads).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
 
@@ -279,7 +319,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    out = written(rows.mapInArrow(run, "u long, v long"), label)
+    dropped(used)
+    dropped(pairs)
+    return out
 
 
 def classes(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -288,13 +331,17 @@ def classes(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> Da
     shared = written(by_runs(rows, KEYED, fresh), "copies-keys")
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
     first = written(by_runs(sort(shared), "a long, b long", stars).unionByName(candidates(sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-stars")
-    links = written(confirmed(first, sets), "copies-links")
+    links = confirmed(first, sets, "copies-links")
     known = written(components(links, "copies-first"), "copies-known")
-    maps = arrow_map(sets.where("hashes is not null").select("digest", "hashes"), "digest long, bits binary", lambda c: [c[0], [bitmap(np.frombuffer(h, np.uint64)) for h in c[1]]]).dropDuplicates(["digest"])
-    of = maps.join(known.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("component", "digest").alias("component"), "bits")
-    placed = shared.join(of, "digest").select("key", "digest", "n", "place", "component", "bits")
-    second = written(by_runs(sort(placed), "a long, b long", across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "copies-across")
-    more = written(confirmed(second, sets), "copies-more")
+    placed = shared.join(known.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "n", "place", F.coalesce("component", "digest").alias("component"))
+    # bitmaps go only to the keys that still hold sets of different classes
+    apart = written(by_runs(sort(placed), PLACED, unlike), "copies-apart")
+    dropped(shared)
+    maps = sets.where("bits is not null").select("digest", "bits").dropDuplicates(["digest"])
+    mapped = apart.join(maps, "digest").select("key", "digest", "n", "place", "component", "bits")
+    second = written(by_runs(sort(mapped), "a long, b long", across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "copies-across")
+    dropped(apart)
+    more = confirmed(second, sets, "copies-more")
     return written(components(links.unionByName(more), "copies-all"), "copies-classes")
 
 
@@ -305,6 +352,7 @@ def without_copies(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame]
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")).alias("rank")
     least = sets.select("digest", rank).groupBy("digest").agg(F.min("rank").alias("rank"))
     best = least.join(of.withColumnRenamed("node", "digest"), "digest", "left").groupBy(F.coalesce("component", "digest").alias("c")).agg(F.min("rank").alias("rank"))
-    kept = best.select(F.col("rank.row").alias("row"))
+    kept = written(best.select(F.col("rank.row").alias("row")), "copies-kept")
+    dropped(sets)  # they are larger than the texts, which are dealt out next
     # rows equal in all columns share a hash: one of them stays
     return docs.withColumn("row", F.xxhash64(*docs.columns)).join(kept.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
