@@ -303,8 +303,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """u, v: the pairs (a, b) whose sets are similar, written."""
     pairs = plausible(pairs, sets)
     used = written(of_these(sets, pairs.select(F.explode(F.array("a", "b")).alias("digest"))), "copies-used")
-    heads = used.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi").select(F.col("digest").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
-    rows = pairs.join(used.withColumnRenamed("digest", "b"), "b").select("a", "b", "hashes").unionByName(heads).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    known = F.broadcast if pairs.count() <= FEW else lambda df: df  # few pairs go to the sets, not the sets to the pairs
+    heads = used.join(known(pairs.select(F.col("a").alias("digest")).distinct()), "digest", "left_semi").select(F.col("digest").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    rows = used.withColumnRenamed("digest", "b").join(known(pairs), "b").select("a", "b", "hashes").unionByName(heads).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
 
     def run(batches):
         head = NO_WORDS
