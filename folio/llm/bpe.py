@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,8 @@ NONE = np.iinfo(np.int64).max
 #: Fixed values of the vocabulary's pre-tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: The same pieces of a lower-case ASCII text without white space.
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Separators that str.split() cuts at though they are no white space to the vocabulary.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -35,16 +40,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class Noting(dict):
-    """A cache that notes the keys it lacks."""
-
-    missed: dict
-
-    def __missing__(self, key):
-        self.missed[key] = None
-        return b""
-
-
 class WordBpe:
     """Encoder and decoder for a tokenizers file of kind BPE with the word end </w>."""
 
@@ -76,7 +71,7 @@ class WordBpe:
         self.ordered = bool((np.arange(len(left)) > np.maximum(latest[left], latest[right])).all())
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.cache_words, self.cache, self.texts = cache_words, Noting(), None
+        self.cache_words, self.cache, self.texts = cache_words, {}, None
 
     def words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many non-empty words in one flat array, and the bounds of each word in it."""
@@ -112,7 +107,7 @@ class WordBpe:
             sym, word, rank = sym[keep], word[keep], rank[keep]
             at = pick - np.arange(len(pick))  # only the pairs beside a merge are looked up again
             rank[at] = self.pair_ranks(sym, word, at)
-            at = np.unique(np.maximum(at - 1, 0))
+            at = np.maximum(at - 1, 0)
             rank[at] = self.pair_ranks(sym, word, at)
         sym, word = np.concatenate(out_sym), np.concatenate(out_word)
         order = np.argsort(word, kind="stable")
@@ -125,6 +120,11 @@ class WordBpe:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[place] == key) & (word[at] == word[after]) & (after > at), self.ranks[place], NONE)
 
+    @staticmethod
+    def lower(text: str) -> str:
+        """Composed and in lower case letter by letter: a final sigma is no special case."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def pieces(self, chunk: str) -> list:
         """The words of a text without white space; a special token is its id."""
         out: list = []
@@ -132,8 +132,7 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                # lower case letter by letter: a final sigma is no special case
-                low = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                low = self.lower(part)
                 if low.isalpha():
                     out.append(low.encode())
                 else:
@@ -142,7 +141,13 @@ class WordBpe:
 
     def learn(self, chunks: list[str]) -> None:
         """Put the chunks' ids (in the narrow type) and decoded texts in the cache."""
-        cut = [self.pieces(c) for c in chunks]
+        short: dict = {}
+        for ascii_only, find in ((True, ASCII_PIECES.findall), (False, None)):
+            own = [c for c in chunks if c.isascii() == ascii_only and "<|" not in c]
+            low = self.lower("\n".join(own))  # no chunk holds a line end, and none is made or composed across one
+            for c, x, raw in zip(own, low.split("\n"), low.encode().split(b"\n")):
+                short[c] = (raw,) if x.isalpha() else find(raw) if find else [p.encode() for p in PIECES.findall(x)]
+        cut = [short.get(c) or self.pieces(c) for c in chunks]
         todo = list({p: None for ps in cut for p in ps if isinstance(p, bytes)})
         ids, at = self.words(todo) if todo else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
@@ -166,19 +171,20 @@ class WordBpe:
             cache.clear()
             if self.texts is not None:
                 self.texts.clear()
-        cache.missed = missed = {}
-        out, again = [], []
-        for i, cs in enumerate(cut):
-            before = len(missed)
-            out.append(b"".join(map(cache.__getitem__, cs)))
-            if len(missed) > before or missed and not missed.keys().isdisjoint(cs):
-                again.append(i)
-        new = list(missed)
+        # each different chunk of these texts is looked up once
+        coded = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        new = [c for c in names if c not in cache]
         for i in range(0, len(new), 20_000):
             self.learn(new[i : i + 20_000])
-        for i in again:
-            out[i] = b"".join(map(cache.__getitem__, cut[i]))
-        return cut, out
+        own = [cache[c] for c in names]
+        flat, width = np.frombuffer(b"".join(own), self.kind), np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // width
+        first, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.cumsum(many)
+        raw = flat[np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = (np.r_[0, ends][np.cumsum([0, *map(len, cut)])] * width).tolist()
+        return cut, [raw[s:e] for s, e in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids in the type `kind`: little-endian, unsigned, 16 bits if the vocabulary allows, else 32."""
