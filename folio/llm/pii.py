@@ -8,6 +8,10 @@ occurrences elsewhere that the corpus has not shown. A term that leaves at most
 discloses it: it is generalised wherever it occurs. So a name that stands only beside one address goes, even
 if it stands there once, and a word that stands by an address now and then stays.
 
+Occurrences in some of the texts are a part of all: a term that leaves more than BITS bits by them alone is
+refuted at once. So texts with mentions are counted first, then one in PART, and only terms that neither refutes
+are counted in all texts, from which alone n(t) is taken: common words cost no row per task.
+
 Counts, candidates and disclosing terms are tables. What travels with the tasks is of fixed size: a Bloom
 filter, which only saves rows, and up to FLAGGED_MOST hashes of disclosing terms. If there are more, each
 text meets its own terms in a join; the result is the same.
@@ -43,6 +47,8 @@ TERM = re.compile(r"[^\W\d_]+")
 WINDOW, BITS, PRIOR = 8, 1.0, 0.5
 #: Bits of the Bloom filter, and disclosing terms up to which their hashes travel with the tasks.
 BLOOM_BITS, FLAGGED_MOST = 1 << 23, 1_000_000
+#: One text in so many is counted before all are; it changes no result.
+PART = 16
 
 
 def luhn(digits: str) -> bool:
@@ -163,17 +169,39 @@ class Bloom:
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, key, entity, n_near, n_all, bits of the terms that leave at most BITS bits, a written table."""
 
-    def near(cols):
-        total: Counter = Counter()
+    def beside(cols):
+        total, texts = Counter(), []
         for t in cols[0]:
-            total.update(near_terms(t or ""))
-        return [[e for e, _ in total], [t for _, t in total], list(total.values())]
-
-    pairs = arrow_map(docs.select("text"), "entity long, term string, n long", near).groupBy("entity", "term").agg(F.sum("n").alias("n"))
-    best = pairs.groupBy("term").agg(F.max(F.struct("n", "entity")).alias("best"))
+            if found := near_terms(t or ""):
+                total.update(found)
+                texts.append(t)
+        # the row without an entity counts the term in these texts
+        terms, there = {t for _, t in total}, Counter()
+        for t in texts:
+            there.update(w for w in words(t) if w in terms)
+        return [[e for e, _ in total] + [None] * len(there), [*(t for _, t in total), *there], [*total.values(), *there.values()]]
+
+    pairs = arrow_map(docs.select("text"), "entity long, term string, n long", beside).groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    mention, there = F.when(F.col("entity").isNotNull(), F.struct("n", "entity")), F.when(F.col("entity").isNull(), F.col("n"))
+    best = pairs.groupBy("term").agg(F.max(mention).alias("best"), F.coalesce(F.max(there), F.lit(0)).alias("there"))
+    best = best.where(may_disclose(F.col("best.n"), F.col("there")))
     keyed = arrow_map(best.select("term", F.col("best.entity").alias("entity"), F.col("best.n").alias("n")), "term string, key long, entity long, n long", lambda c: [c[0], [key(t) for t in c[0]], c[1], c[2]])
-    candidates = written(keyed, "pii-candidates")
-    bloom = Bloom.of(candidates)
+    near = written(keyed, "pii-near")
+    some = totals(docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), near)
+    live = near.join(some.hint("merge"), "key", "left").where(may_disclose(F.col("n"), F.coalesce("n_all", F.lit(0))))
+    candidates = written(live.select(near.columns), "pii-candidates")
+    met = candidates.join(totals(docs, candidates).hint("merge"), "key").withColumn("bits", -F.log2(F.col("n") / (F.col("n_all") + PRIOR)))
+    return written(met.where(F.col("bits") <= BITS).select("term", "key", "entity", F.col("n").alias("n_near"), "n_all", "bits"), "pii-terms")
+
+
+def may_disclose(n, found):
+    """Whether a term with n occurrences by an entity can leave BITS bits at most if it occurs at least found times; the margin is for rounding."""
+    return found + PRIOR <= n * (2**BITS * (1 + 1e-9))
+
+
+def totals(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, n_all: occurrences in the texts of the words with these keys; a few other words may be among them."""
+    bloom = Bloom.of(keys)
 
     def count(batches):
         held: Counter = Counter()
@@ -193,9 +221,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    totals = docs.select("text").mapInArrow(count, "key long, n_all long").groupBy("key").agg(F.sum("n_all").alias("n_all"))
-    met = candidates.join(totals.hint("merge"), "key").withColumn("bits", -F.log2(F.col("n") / (F.col("n_all") + PRIOR)))
-    return written(met.where(F.col("bits") <= BITS).select("term", "key", "entity", F.col("n").alias("n_near"), "n_all", "bits"), "pii-terms")
+    return docs.select("text").mapInArrow(count, "key long, n_all long").groupBy("key").agg(F.sum("n_all").alias("n_all"))
 
 
 class Flagged:
