@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,25 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run for mapInArrow, after which its task gives freed memory back to the system: workers live on from stage to stage, and what they keep adds up."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return each
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str, each: Callable[[list[list]], list], state: Callable[[], object] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Map df batch by batch. each(columns[, state]) gets the columns as lists and returns the new columns.
 
@@ -83,7 +103,7 @@ def arrow_map(df: DataFrame, schema: str, each: Callable[[list[list]], list], st
                     made = [*made, *(part.column(k).cast(out.field(n).type) for k, n in zip(along, carry))]
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, out)], schema=out)
 
-    return df.mapInArrow(run, kinds)
+    return df.mapInArrow(given_back(run), kinds)
 
 
 #: Bytes of a record batch handled at once.

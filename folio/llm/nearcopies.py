@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_map, dropped, written
+from folio.llm.common import arrow_map, dropped, given_back, written
 from folio.llm.components import components
 
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
@@ -100,6 +100,15 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, f"doc_id {kind}, row long, digest long, hashes binary, mark long, n int, bits binary", each, set)
 
 
+def repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that are in the arrays twice or more, sorted, and how often; held is emptied, and only the repeats are copied."""
+    x = np.concatenate(held)
+    held.clear()
+    x.sort()
+    found, n = np.unique(x[1:][x[1:] == x[:-1]], return_counts=True)
+    return found, n + 1
+
+
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that tasks meet in two documents or more, sorted, and their ranks by count."""
 
@@ -117,11 +126,10 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def out(held):
         if held:
-            x, n = np.unique(np.concatenate(held), return_counts=True)
-            x, n = x[n > 1], n[n > 1]
+            x, n = repeated(held)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    found = sets.select("hashes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    found = sets.select("hashes").mapInArrow(given_back(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     rows = found.orderBy(F.desc("n"), "key").limit(OFTEN_MOST).select("key").toArrow().column(0).to_numpy()
     keys = np.ascontiguousarray(rows[::-1]).view(np.uint64)  # the rarest first
     at = np.argsort(keys)
@@ -148,7 +156,7 @@ def prefixes(sets: DataFrame, often: np.ndarray, ranks: np.ndarray) -> DataFrame
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["key", "digest", "n", "place", "mark"])
 
-    return sets.select("digest", "hashes", "mark").mapInArrow(run, KEYED)
+    return sets.select("digest", "hashes", "mark").mapInArrow(given_back(run), KEYED)
 
 
 #: A key of a set: the set's digest and size, the key's place in it, the set's SimHash.
@@ -191,7 +199,7 @@ def by_runs(rows: DataFrame, schema: str, each) -> DataFrame:
     def batch(made):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(given_back(run), schema)
 
 
 def possible(n: np.ndarray, place: np.ndarray, i: int) -> np.ndarray:
@@ -285,7 +293,7 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             live = enough(b.column(2).to_numpy(), one, b.column(4).to_numpy(), two)
             yield b.select(["a", "b"]).filter(pa.array(live))
 
-    return written(met.mapInArrow(run, "a long, b long"), "copies-plausible")
+    return written(met.mapInArrow(given_back(run), "a long, b long"), "copies-plausible")
 
 
 #: Digests (8 bytes each) that every task is given, so that not all sets are dealt out; more of them are met by sorting. Neither changes a result.
@@ -320,7 +328,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    out = written(rows.mapInArrow(run, "u long, v long"), label)
+    out = written(rows.mapInArrow(given_back(run), "u long, v long"), label)
     dropped(used)
     dropped(pairs)
     return out
