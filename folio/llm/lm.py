@@ -45,8 +45,12 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def sigmoid(x: np.ndarray) -> None:
+    """x becomes its sigmoid."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(1, x, out=x)
 
 
 def softmax(x: np.ndarray, at: np.ndarray, probabilities: bool) -> np.ndarray:
@@ -82,14 +86,18 @@ class Gru:
     def states(self, h: np.ndarray, x: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All states before each step's token, and the state after. x: steps by streams of codes."""
         p, n = self.p, HIDDEN
-        inputs = p["w"][x] + p["b"]
+        inputs = (p["w"] + p["b"])[x]  # added to each code once, not to each step
         u1, u2 = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
         out = np.empty((len(x), len(h), n), h.dtype)
         for t in range(len(x)):
             out[t] = h
-            zr = sigmoid(inputs[t, :, : 2 * n] + h @ u1)
+            zr = h @ u1
+            zr += inputs[t, :, : 2 * n]
+            sigmoid(zr)
             z, r = zr[:, :n], zr[:, n:]
-            g = np.tanh(inputs[t, :, 2 * n :] + (r * h) @ u2)
+            g = (r * h) @ u2
+            g += inputs[t, :, 2 * n :]
+            np.tanh(g, out=g)
             if keep is not None:
                 keep.append((h, z, r, g))
             h = h + z * (g - h)
