@@ -13,11 +13,12 @@ before copies could meet each other.
 Defined results: a text of up to SHINGLE words is one shingle; a null, empty or blank text has none and
 is a copy of any other such text; words are ASCII-lowered and cut at ASCII white space. Shingles are
 known by 64-bit hashes, equal sets by a 64-bit digest of these, rows by a 64-bit hash of all columns.
+Sets are made from the texts whenever they are needed: written down they are larger than the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -78,18 +79,21 @@ def of_hashes(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def digest_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row, digest, hashes, mark, n, bits for each row; hashes, their SimHash, number and bitmap only where the task has not met the digest before."""
+    """doc_id, row, digest, mark, n, bits for each row; the set's SimHash, number and bitmap only where the task has not met the digest before."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(cols, seen):
-        out = [cols[0], cols[1], [], [], [], [], []]
+        out = [cols[0], cols[1], [], [], [], []]
         for t in cols[2]:
             own = shingles(t)
-            s = own.tobytes()
-            d = xxhash.xxh64_intdigest(s) - (1 << 63)
+            d = digest_of(own)
             out[2].append(d)
-            for to, x in zip(out[3:], (None,) * 4 if d in seen else (s, of_hashes(own) - (1 << 63), len(own), bitmap(own))):
+            for to, x in zip(out[3:], (None,) * 3 if d in seen else (of_hashes(own) - (1 << 63), len(own), bitmap(own))):
                 to.append(x)
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -97,7 +101,21 @@ def sets_of(docs: DataFrame) -> DataFrame:
         return out
 
     rows = docs.select("doc_id", F.xxhash64(*docs.columns).alias("row"), "text")
-    return arrow_map(rows, f"doc_id {kind}, row long, digest long, hashes binary, mark long, n int, bits binary", each, set)
+    return arrow_map(rows, f"doc_id {kind}, row long, digest long, mark long, n int, bits binary", each, set)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Digest and shingles of each text of the first column that has any and whose set the task has not met before."""
+    seen: set[int] = set()
+    for b in batches:
+        for t in b.column(0):
+            own = shingles(t.as_py())
+            d = digest_of(own)
+            if len(own) and d not in seen:
+                yield d, own
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.add(d)
 
 
 def repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,19 +127,17 @@ def repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return found, n + 1
 
 
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that tasks meet in two documents or more, sorted, and their ranks by count."""
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
-            for x in b.column(0):
-                if x.is_valid:
-                    held.append(np.frombuffer(x.as_py(), np.uint64))
-                    size += len(held[-1])
-                if size > 4_000_000:
-                    yield from out(held)
-                    held, size = [], 0
+        for _, own in met(batches):
+            held.append(own)
+            size += len(own)
+            if size > 4_000_000:
+                yield from out(held)
+                held, size = [], 0
         yield from out(held)
 
     def out(held):
@@ -129,34 +145,38 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             x, n = repeated(held)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    found = sets.select("hashes").mapInArrow(given_back(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    found = docs.select("text").mapInArrow(given_back(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     rows = found.orderBy(F.desc("n"), "key").limit(OFTEN_MOST).select("key").toArrow().column(0).to_numpy()
     keys = np.ascontiguousarray(rows[::-1]).view(np.uint64)  # the rarest first
     at = np.argsort(keys)
     return keys[at], at
 
 
-def prefixes(sets: DataFrame, often: np.ndarray, ranks: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, often: np.ndarray, ranks: np.ndarray) -> DataFrame:
     """KEYED rows: the first shingles of each set in the common order, with their places in it."""
 
     def run(batches):
-        for b in batches:
-            parts = []
-            for d, h, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                if not h.is_valid or not len(x := np.frombuffer(h.as_py(), np.uint64)):
-                    continue
-                most = prefix_length(len(x))
-                if len(often):
-                    at = np.searchsorted(often, x)
-                    at[at == len(often)] = 0
-                    known = often[at] == x
-                    if known.any():
-                        x = np.concatenate([x[~known], x[known][np.argsort(ranks[at[known]])]])
-                parts.append((x[:most].view(np.int64), np.full(most, d), np.full(most, len(x), np.int32), np.arange(most, dtype=np.int32), np.full(most, m)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["key", "digest", "n", "place", "mark"])
-
-    return sets.select("digest", "hashes", "mark").mapInArrow(given_back(run), KEYED)
+        parts, size = [], 0
+        for d, x in met(batches):
+            most, mark = prefix_length(len(x)), of_hashes(x) - (1 << 63)
+            if len(often):
+                at = np.searchsorted(often, x)
+                at[at == len(often)] = 0
+                known = often[at] == x
+                if known.any():
+                    x = np.concatenate([x[~known], x[known][np.argsort(ranks[at[known]])]])
+            parts.append((x[:most].view(np.int64), np.full(most, d), np.full(most, len(x), np.int32), np.arange(most, dtype=np.int32), np.full(most, mark)))
+            size += most
+            if size > 200_000:
+                yield out(parts)
+                parts, size = [], 0
+        if parts:
+            yield out(parts)
+
+    def out(parts):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["key", "digest", "n", "place", "mark"])
+
+    return docs.select("text").mapInArrow(given_back(run), KEYED)
 
 
 #: A key of a set: the set's digest and size, the key's place in it, the set's SimHash.
@@ -164,44 +184,65 @@ KEYED = "key long, digest long, n int, place int, mark long"
 
 
 def by_runs(rows: DataFrame, schema: str, each) -> DataFrame:
-    """each(columns as arrays) for the rows of each run of the first column, over runs of two rows or more; rows must be sorted by it."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    """each(columns as arrays) for the rows of each run of the first column, over runs of two rows or more; rows of one run must stand together.
+
+    Pairs (a, b) are given with a < b, and once for all runs of a task, or of a part of it where it has very many.
+    """
+    names, pairs = [f.split()[0] for f in schema.split(", ")], schema == PAIRS
 
     def run(batches):
-        held = None
+        held, made = None, []
         for b in batches:
             if not b.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            changes = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+            last = int(changes[-1]) + 1 if len(changes) else 0  # the last run may go on
             held = [c[last:] for c in cols]
-            yield from out([c[:last] for c in cols])
+            yield from out([c[:last] for c in cols], made)
         if held is not None:
-            yield from out(held)
+            yield from out(held, made)
+        if made:
+            yield batch(made)
 
-    def out(cols):
+    def out(cols, made):
         starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if len(cols[0]) else np.zeros(0, int)
         ends = np.r_[starts[1:], len(cols[0])]
         many = ends - starts > 1
-        made, size = [], 0
+        size = sum(len(m[0]) for m in made)
         for s, e in zip(starts[many], ends[many]):
             for m in each([c[s:e] for c in cols]):
                 made.append(m)
                 size += len(m[0])
                 if size > 500_000:
-                    yield batch(made)
-                    made, size = [], 0
-        if made:
-            yield batch(made)
+                    if pairs:
+                        made[:] = [distinct(made)]
+                        size = len(made[0][0])
+                    if not pairs or size > 250_000:
+                        yield batch(made)
+                        made.clear()
+                        size = 0
+
+    def distinct(made):
+        a, b = (np.concatenate(c) for c in zip(*made))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        return a[first], b[first]
 
     def batch(made):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=names)
+        cols = distinct(made) if pairs else [np.concatenate(c) for c in zip(*made)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return rows.mapInArrow(given_back(run), schema)
 
 
+PAIRS = "a long, b long"
+
+
 def possible(n: np.ndarray, place: np.ndarray, i: int) -> np.ndarray:
     """Which sets of a key can be similar to its i-th, by sizes and by the key's places: 9 shared >= 4 sizes, for 0.8."""
     own, at = n.astype(np.int64), place.astype(np.int64)
@@ -234,14 +275,18 @@ def stars(cols):
         left = left[~near]
 
 
-#: A key of a set of a class.
+#: A key of a set of a class; and with the task that compares the key's sets.
 PLACED = "key long, digest long, n int, place int, component long"
+DEALT = PLACED + ", task long"
+#: Tasks among which the keys that begin with one class are dealt. A pair that shares very many keys so meets in few tasks, each of which gives it once.
+SPREAD = 8
 
 
 def unlike(cols):
-    """The sets of a key that holds sets of different classes."""
+    """The sets of a key that holds sets of different classes, with their task."""
     if not (cols[4] == cols[4][0]).all():
-        yield cols
+        task = mixed(cols[4].min(keepdims=True).view(np.uint64) + mixed(cols[0][:1].view(np.uint64)) % np.uint64(SPREAD))
+        yield [*cols, np.repeat(task.view(np.int64), len(cols[0]))]
 
 
 def across(cols):
@@ -261,10 +306,10 @@ def across(cols):
 BITS = 1024
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
+def bitmap(hashes: np.ndarray, bits: int = BITS) -> bytes:
     """A bit for each shingle, by its hash."""
-    out = np.zeros(BITS, bool)
-    out[(hashes >> np.uint64(20)) % np.uint64(BITS)] = True
+    out = np.zeros(bits, bool)
+    out[(hashes >> np.uint64(20)) % np.uint64(bits)] = True
     return np.packbits(out).tobytes()
 
 
@@ -282,10 +327,10 @@ def enough(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their bitmaps do not refute, written; so whole sets move for these alone."""
+    """The pairs (a, b) that their bitmaps do not refute, written; so whole texts move for these alone."""
     maps = sets.where("bits is not null").select("digest", "n", "bits").dropDuplicates(["digest"])
     ends = [maps.select(F.col("digest").alias(e), F.col("n").alias(f"n_{e}"), F.col("bits").alias(f"bits_{e}")) for e in ("a", "b")]
-    met = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    both = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
 
     def run(batches):
         for b in batches:
@@ -293,75 +338,101 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             live = enough(b.column(2).to_numpy(), one, b.column(4).to_numpy(), two)
             yield b.select(["a", "b"]).filter(pa.array(live))
 
-    return written(met.mapInArrow(given_back(run), "a long, b long"), "copies-plausible")
+    return written(both.mapInArrow(given_back(run), PAIRS), "copies-plausible")
 
 
-#: Digests (8 bytes each) that every task is given, so that not all sets are dealt out; more of them are met by sorting. Neither changes a result.
+#: Digests (8 bytes each) that every task is given, so that not all texts are dealt out; more of them are met by sorting. Neither changes a result.
 FEW = 1_000_000
 
 
-def of_these(sets: DataFrame, digests: DataFrame) -> DataFrame:
-    """digest, hashes: one row for each of these digests."""
+def of_these(docs: DataFrame, sets: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest, text: one text for each of these digests."""
     ends = written(digests.distinct(), "copies-ends")
-    side = F.broadcast(ends) if ends.count() <= FEW else ends.hint("merge")
-    return sets.where("hashes is not null").select("digest", "hashes").join(side, "digest", "left_semi").dropDuplicates(["digest"])
+    side = F.broadcast if ends.count() <= FEW else lambda df: df.hint("merge")
+    rows = sets.join(side(ends), "digest", "left_semi").groupBy("digest").agg(F.min("row").alias("row"))
+    return docs.select(F.xxhash64(*docs.columns).alias("row"), "text").join(side(rows), "row").select("digest", "text").dropDuplicates(["digest"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """u, v: the pairs (a, b) whose sets are similar, written."""
-    pairs = plausible(pairs, sets)
-    used = written(of_these(sets, pairs.select(F.explode(F.array("a", "b")).alias("digest"))), "copies-used")
-    known = F.broadcast if pairs.count() <= FEW else lambda df: df  # few pairs go to the sets, not the sets to the pairs
-    heads = used.join(known(pairs.select(F.col("a").alias("digest")).distinct()), "digest", "left_semi").select(F.col("digest").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
-    rows = used.withColumnRenamed("digest", "b").join(known(pairs), "b").select("a", "b", "hashes").unionByName(heads).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+def compared(pairs: DataFrame, held: DataFrame, schema: str, read: Callable, test: Callable[[object, object], bool], label: str) -> DataFrame:
+    """The pairs (a, b) with test(read(x of a), read(x of b)) under the names of schema, written. held: digest, x."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    known = F.broadcast if pairs.count() <= FEW else lambda df: df  # few pairs go to the texts, not the texts to the pairs
+    heads = held.join(known(pairs.select(F.col("a").alias("digest")).distinct()), "digest", "left_semi").select(F.col("digest").alias("a"), F.lit(None).cast("long").alias("b"), "x")
+    rows = held.withColumnRenamed("digest", "b").join(known(pairs), "b").select("a", "b", "x").unionByName(heads).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
 
     def run(batches):
-        head = NO_WORDS
-        for b in batches:
+        head = None
+        for batch in batches:
             us, vs = [], []
-            for u, v, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                x = np.frombuffer(h.as_py(), np.uint64)
+            for u, v, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = read(x.as_py())
                 if v is None:
-                    head = x
-                elif similar(head, x):
+                    head = own
+                elif test(head, own):
                     us.append(u)
                     vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=names)
+
+    return written(rows.mapInArrow(given_back(run), schema), label)
 
-    out = written(rows.mapInArrow(given_back(run), "u long, v long"), label)
+
+def wide(hashes: np.ndarray) -> bytes:
+    """Number of shingles and a bitmap of them with at least two bits for each, so that it can refute long sets too."""
+    bits = BITS
+    while bits < 2 * len(hashes):
+        bits *= 2
+    return np.int64(len(hashes)).tobytes() + bitmap(hashes, bits)
+
+
+def wide_enough(one: bytes, two: bytes) -> bool:
+    """Whether sets with these wide bitmaps can share enough; the wider is folded to the other's bits."""
+    n, m = (np.frombuffer(x, np.int64, 1) for x in (one, two))
+    a, b = (np.frombuffer(x, np.uint64, -1, 8) for x in (one, two))
+    least = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, least), 0, keepdims=True) for x in (a, b))
+    return bool(enough(n, a, m, b)[0])
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """u, v: the pairs (a, b) whose sets are similar, written."""
+    used = written(of_these(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("digest"))), "copies-used")
+    maps = written(arrow_map(used, "digest long, x binary", lambda c: [c[0], [wide(shingles(t)) for t in c[1]]]), "copies-wide")
+    live = compared(pairs, maps, PAIRS, bytes, wide_enough, "copies-live")
+    dropped(maps)
+    out = compared(live, used.withColumnRenamed("text", "x"), "u long, v long", shingles, similar, label)
     dropped(used)
-    dropped(pairs)
+    dropped(live)
     return out
 
 
-def classes(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes(docs: DataFrame, sets: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, component: the class of each digest that has a link to another. candidates: pairs (a, b) looked at first."""
-    rows = prefixes(sets, *frequent(sets)).repartition("key").sortWithinPartitions("key")
+    rows = prefixes(docs, *frequent(docs)).repartition("key").sortWithinPartitions("key")
     shared = written(by_runs(rows, KEYED, fresh), "copies-keys")
     sort = lambda df: df.repartition("key").sortWithinPartitions("key")
-    first = written(by_runs(sort(shared), "a long, b long", stars).unionByName(candidates(sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-stars")
-    links = confirmed(first, sets, "copies-links")
+    first = written(by_runs(sort(shared), PAIRS, stars).unionByName(candidates(sets)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-stars")
+    links = confirmed(docs, plausible(first, sets), sets, "copies-links")
     known = written(components(links, "copies-first"), "copies-known")
     placed = shared.join(known.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "n", "place", F.coalesce("component", "digest").alias("component"))
     # bitmaps go only to the keys that still hold sets of different classes
-    apart = written(by_runs(sort(placed), PLACED, unlike), "copies-apart")
+    apart = written(by_runs(sort(placed), DEALT, unlike), "copies-apart")
     dropped(shared)
     maps = sets.where("bits is not null").select("digest", "bits").dropDuplicates(["digest"])
-    mapped = apart.join(maps, "digest").select("key", "digest", "n", "place", "component", "bits")
-    second = written(by_runs(sort(mapped), "a long, b long", across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "copies-across")
+    mapped = apart.join(maps, "digest").select("key", "digest", "n", "place", "component", "bits", "task").repartition("task").sortWithinPartitions("task", "key")
+    second = written(by_runs(mapped, PAIRS, across).distinct().join(first, ["a", "b"], "left_anti"), "copies-across")
     dropped(apart)
-    more = confirmed(second, sets, "copies-more")
+    more = confirmed(docs, second, sets, "copies-more")
     return written(components(links.unionByName(more), "copies-all"), "copies-classes")
 
 
 def without_copies(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One row of each class of near copies: that of the smallest doc_id, null the largest of all."""
     sets = written(sets_of(docs), "copies-sets")
-    of = classes(sets, candidates)
+    of = classes(docs, sets, candidates)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")).alias("rank")
     least = sets.select("digest", rank).groupBy("digest").agg(F.min("rank").alias("rank"))
     best = least.join(of.withColumnRenamed("node", "digest"), "digest", "left").groupBy(F.coalesce("component", "digest").alias("c")).agg(F.min("rank").alias("rank"))
     kept = written(best.select(F.col("rank.row").alias("row")), "copies-kept")
-    dropped(sets)  # they are larger than the texts, which are dealt out next
+    dropped(sets)
     # rows equal in all columns share a hash: one of them stays
     return docs.withColumn("row", F.xxhash64(*docs.columns)).join(kept.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)

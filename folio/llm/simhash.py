@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, most: int = 2) -> DataFrame:
 
     def first(sets: DataFrame) -> DataFrame:
         """a, b: digests whose fingerprints the index links."""
-        marks = written(sets.where("hashes is not null").select(F.col("digest").alias("rep"), F.col("mark").bitwiseXOR(F.lit(-(1 << 63))).alias("fp")).distinct(), "simhash-sets")
+        marks = written(sets.where("mark is not null").select(F.col("digest").alias("rep"), F.col("mark").bitwiseXOR(F.lit(-(1 << 63))).alias("fp")).distinct(), "simhash-sets")
         distinct = written(marks.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-distinct")
         shared = marks.join(distinct.withColumnRenamed("rep", "head").hint("merge"), "fp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
         return links(distinct, most).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).unionByName(shared)

@@ -94,3 +94,33 @@ def test_each_row_has_its_own_verdict(spark):
     ids = docs.selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars").limit(300)
     out = corpus_pipeline.quality(spark, ids, sf)
     assert out.columns == corpus_pipeline.COLUMNS and 0 < out.count() <= 300
+
+
+def test_a_pair_is_given_once_however_many_keys_it_shares(spark):
+    r = random.Random(2)
+    n, place = 500, 3
+    sets = [(d, bytes(nearcopies.bitmap(np.arange(n, dtype=np.uint64) << np.uint64(20)))) for d in range(4)]
+    rows = [(key, d, n, place, d, bits) for key in range(200) for d, bits in r.sample(sets, 4)]
+    keys = spark.createDataFrame(rows, "key long, digest long, n int, place int, component long, bits binary").repartition(1).sortWithinPartitions("key")
+    out = nearcopies.by_runs(keys, "a long, b long", nearcopies.across).collect()
+    assert sorted((x.a, x.b) for x in out) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+
+
+def test_sets_are_not_written_down(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    made = nearcopies.sets_of(spark.createDataFrame([(1, text, "en", "s", 1)], COLUMNS)).first()
+    assert sum(len(x) for x in made if isinstance(x, (bytes, bytearray))) <= nearcopies.BITS // 8
+
+
+def test_wide_bitmaps_refute_long_sets_but_no_similar_ones():
+    r = np.random.default_rng(3)
+    refuted = 0
+    for k in range(200):
+        n, share = int(r.integers(5, 9000)), r.uniform(0.4, 1)
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: int(len(a) * share)], r.integers(0, 2**63, int(len(a) * r.uniform(0, 0.3)) + 1).astype(np.uint64)])
+        kept = nearcopies.wide_enough(nearcopies.wide(a), nearcopies.wide(b))
+        assert kept or not nearcopies.similar(a, b)
+        refuted += not kept
+        assert nearcopies.wide_enough(nearcopies.wide(b), nearcopies.wide(a)) == kept
+    assert refuted > 50
