@@ -53,18 +53,24 @@ def sigmoid(x: np.ndarray) -> None:
     np.divide(1, x, out=x)
 
 
-def softmax(x: np.ndarray, at: np.ndarray, probabilities: bool) -> np.ndarray:
-    """Log probability of the column at[i] of each row of logits x; x becomes the probabilities, if wanted."""
-    rows = np.arange(len(x))
-    x -= x.max(-1, keepdims=True)
-    own = x[rows, at]
+def softmax(x: np.ndarray, at: np.ndarray, probabilities: bool, bounded: bool = False) -> np.ndarray:
+    """Log probability of the column at[i] of each row of logits x; x becomes the probabilities, if wanted. bounded: no row needs its largest logit taken off first."""
+    if not bounded:
+        x -= x.max(-1, keepdims=True)
+    own = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    total = x.sum(-1)
+    total = x @ np.ones(x.shape[-1], x.dtype)
     if probabilities:
         x *= (1 / total)[:, None]
     return own - np.log(total)
 
 
+def bounded(weights: np.ndarray, bias: np.ndarray, most: float = 60) -> np.ndarray:
+    """Whether states within -1 and 1 give no logit over most, and in each row one over -most at least. So exp() keeps within single precision."""
+    reach = np.abs(weights).sum(-2)
+    return ((bias + reach).max(-1) < most) & ((bias - reach).max(-1) > -most)
+
+
 class Gru:
     """Gated recurrent unit over codes (class * EACH + slot), with a softmax over classes and one over each class's slots."""
 
@@ -108,7 +114,7 @@ class Gru:
         p, n, k, slot = self.p, len(codes), codes // EACH, codes % EACH
         a = states @ p["o"]
         a += p["d"]
-        out = softmax(a, k, grads is not None)
+        out = softmax(a, k, grads is not None, bool(bounded(p["o"], p["d"])))
         dstates = None
         if grads is not None:
             a[np.arange(n), k] -= 1
@@ -118,12 +124,13 @@ class Gru:
         order = np.argsort(k.astype(np.int16), kind="stable")
         bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
         states, slot = states[order], slot[order]
+        small = bounded(p["s"], p["e"])
         parts, back = np.empty(n, out.dtype), None if grads is None else np.empty_like(states)
         for c in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
             own = slice(bounds[c], bounds[c + 1])
             a = states[own] @ p["s"][c]
             a += p["e"][c]
-            parts[own] = softmax(a, slot[own], grads is not None)
+            parts[own] = softmax(a, slot[own], grads is not None, bool(small[c]))
             if grads is not None:
                 a[np.arange(len(a)), slot[own]] -= 1
                 a *= a.dtype.type(1 / n)
