@@ -22,42 +22,54 @@ other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
+import ctypes
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import arrow_map, held_out, table, written
+from folio.llm.common import STEP_BYTES, WORD_GAPS, arrow_map, given_back, held_out, table, written
 
 #: Parameters of the model.
 ENDINGS, SLOTS, HIDDEN, FREQUENT = 46, 31, 16, 150_000
 CLASSES, EACH = ENDINGS + 2, SLOTS + 1
 #: Steps of a window, streams trained side by side at most, tokens of a shard, rounds at most.
 WINDOW, STREAMS, SHARD, ROUNDS = 20, 512, 2_000_000, 6
-END = b""
+#: Whether a byte stands between words.
+GAP = np.isin(np.arange(256), list(WORD_GAPS))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+def tokens(texts: list[str | None]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Lower-cased words of each text and its end, one text after the other, and how many each text has."""
+    texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)  # a gap follows each text
+    gap = np.concatenate([[True], GAP[data]])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    words = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)), prepend=0)
+    sizes = np.zeros(len(starts) + len(texts), np.int32)  # 0: an end
+    sizes[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), words)] = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap[1:]])]), words + 1
 
 
 def sigmoid(x: np.ndarray) -> None:
-    """x becomes its sigmoid."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.divide(1, x, out=x)
+    """x becomes its sigmoid, by way of tanh(), which takes less than exp() and a division."""
+    half = x.dtype.type(0.5)
+    x *= half
+    np.tanh(x, out=x)
+    x *= half
+    x += half
 
 
 def softmax(x: np.ndarray, at: np.ndarray, probabilities: bool, bounded: bool = False) -> np.ndarray:
     """Log probability of the column at[i] of each row of logits x; x becomes the probabilities, if wanted. bounded: no row needs its largest logit taken off first."""
     if not bounded:
         x -= x.max(-1, keepdims=True)
-    own = x[np.arange(len(x)), at]
+    own = x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[-1], x.dtype)
     if probabilities:
@@ -71,6 +83,47 @@ def bounded(weights: np.ndarray, bias: np.ndarray, most: float = 60) -> np.ndarr
     return ((bias + reach).max(-1) < most) & ((bias - reach).max(-1) > -most)
 
 
+def shares(x: np.ndarray, bounded: bool) -> np.ndarray:
+    """What makes probabilities of each row of x, which becomes the exponentials of logits x."""
+    if not bounded:
+        x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    return 1 / (x @ np.ones(x.shape[-1], x.dtype))
+
+
+def by_code(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the codes, and the codes in that order: 16 bits each, which are sorted by radix."""
+    codes = codes.astype(np.uint16)
+    order = np.argsort(codes, kind="stable")
+    return order, codes[order]
+
+
+def classes(codes: np.ndarray) -> list[tuple[int, slice]]:
+    """Each class of the ordered codes, and where it lies."""
+    bounds = np.searchsorted(codes, np.arange(CLASSES + 1, dtype=np.uint16) * np.uint16(EACH)).tolist()
+    return [(c, slice(*b)) for c, b in enumerate(zip(bounds, bounds[1:])) if b[0] < b[1]]
+
+
+def with_ones(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """States in the order, each with a 1 that meets the bias."""
+    out = np.empty((len(order), HIDDEN + 1), states.dtype)
+    out[:, :-1], out[:, -1] = states.take(order, 0), 1
+    return out
+
+
+def blocks(n: int, rows: int = 2048) -> list[slice]:
+    """Slices of n rows whose logits stay in the processor's cache."""
+    return [slice(i, min(n, i + rows)) for i in range(0, n, rows)]
+
+
+def keep_freed() -> None:
+    """Freed memory stays with the process, so arrays of the next step need no new pages; given_back() returns it as a task ends. For glibc alone."""
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option:
+        set_option(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        set_option(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 class Gru:
     """Gated recurrent unit over codes (class * EACH + slot), with a softmax over classes and one over each class's slots."""
 
@@ -89,57 +142,78 @@ class Gru:
             self.p[k] = x[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def states(self, h: np.ndarray, x: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All states before each step's token, and the state after. x: steps by streams of codes."""
-        p, n = self.p, HIDDEN
-        inputs = (p["w"] + p["b"])[x]  # added to each code once, not to each step
-        u1, u2 = np.ascontiguousarray(p["u"][:, : 2 * n]), np.ascontiguousarray(p["u"][:, 2 * n :])
-        out = np.empty((len(x), len(h), n), h.dtype)
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of codes, with biases, and of states, by gate: what is worked on lies side by side, so numpy's loops are long."""
+        w, u = ((x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2)) for x in (self.p["w"] + self.p["b"], self.p["u"]))
+        return np.ascontiguousarray(w), np.ascontiguousarray(u)
+
+    def states(self, h: np.ndarray, x: np.ndarray, keep: list | None = None, gates: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All states before each step's token, and the state after. x: steps by streams of codes. keep gets both gates and the new values, and the gated states."""
+        w, u = gates or self.gates()
+        all3 = w.take(x, 1)  # the gates' inputs, then their outputs
+        out = np.empty((len(x), len(h), HIDDEN), h.dtype)
+        gated, zr = np.empty_like(out) if keep is not None else np.empty((1, *h.shape), h.dtype), np.empty((2, *h.shape), h.dtype)
         for t in range(len(x)):
             out[t] = h
-            zr = h @ u1
-            zr += inputs[t, :, : 2 * n]
-            sigmoid(zr)
-            z, r = zr[:, :n], zr[:, n:]
-            g = (r * h) @ u2
-            g += inputs[t, :, 2 * n :]
+            a, g, rh = all3[:2, t], all3[2, t], gated[t if keep is not None else 0]
+            a += np.matmul(h, u[:2], out=zr)
+            sigmoid(a)
+            g += np.matmul(np.multiply(a[1], h, out=rh), u[2], out=zr[0])
             np.tanh(g, out=g)
-            if keep is not None:
-                keep.append((h, z, r, g))
-            h = h + z * (g - h)
+            h = g - h
+            h *= a[0]
+            h += out[t]
+        if keep is not None:
+            keep += [all3, gated]
         return out, h
 
-    def likelihood(self, states: np.ndarray, codes: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log likelihood of each code after its state; with grads their sums, and the gradient at the states, of the mean loss."""
-        p, n, k, slot = self.p, len(codes), codes // EACH, codes % EACH
-        a = states @ p["o"]
-        a += p["d"]
-        out = softmax(a, k, grads is not None, bool(bounded(p["o"], p["d"])))
-        dstates = None
-        if grads is not None:
-            a[np.arange(n), k] -= 1
-            a *= a.dtype.type(1 / n)
-            grads["o"], grads["d"] = states.T @ a, a.sum(0)
-            dstates = a @ p["o"].T
-        order = np.argsort(k.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        states, slot = states[order], slot[order]
-        small = bounded(p["s"], p["e"])
-        parts, back = np.empty(n, out.dtype), None if grads is None else np.empty_like(states)
-        for c in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
-            own = slice(bounds[c], bounds[c + 1])
-            a = states[own] @ p["s"][c]
-            a += p["e"][c]
-            parts[own] = softmax(a, slot[own], grads is not None, bool(small[c]))
-            if grads is not None:
-                a[np.arange(len(a)), slot[own]] -= 1
-                a *= a.dtype.type(1 / n)
-                grads["s"][c], grads["e"][c] = states[own].T @ a, a.sum(0)
-                back[own] = a @ p["s"][c].T
-        out[order] += parts
-        if grads is not None:
-            dstates[order] += back
-        return out, dstates
+    def softmaxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the class softmax and of each class's slots, with the biases as a last row: what a 1 beside each state meets."""
+        p = self.p
+        return np.concatenate([p["o"], p["d"][None]]), np.concatenate([p["s"], p["e"][:, None]], 1)
+
+    def likelihood(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log likelihood of each code after its state, and that of its class alone."""
+        p, (every, slots) = self.p, self.softmaxes()
+        order, codes = by_code(codes)
+        states, first = with_ones(states, order), np.empty(len(codes), states.dtype)
+        k, slot = codes // EACH, codes % EACH
+        safe, small = bool(bounded(p["o"], p["d"])), bounded(p["s"], p["e"]).tolist()
+        for own in blocks(len(codes)):
+            first[own] = softmax(states[own] @ every, k[own], False, safe)
+        whole = first.copy()
+        for c, own in classes(codes):
+            whole[own] += softmax(states[own] @ slots[c], slot[own], False, small[c])
+        out = np.empty((2, len(codes)), first.dtype)
+        out[0, order], out[1, order] = whole, first
+        return out[0], out[1]
+
+    def slopes(self, states: np.ndarray, order: np.ndarray, codes: np.ndarray, grads: dict) -> np.ndarray:
+        """Gradient, at the states, of the mean negative log likelihood of the ordered codes; grads get those of both softmaxes."""
+        p, n, (every, slots) = self.p, len(codes), self.softmaxes()
+        states, back = with_ones(states, order), np.empty_like(states)
+        k, slot = codes // EACH, codes % EACH
+        safe, small = bool(bounded(p["o"], p["d"])), bounded(p["s"], p["e"]).tolist()
+
+        def slope(own: slice, at: np.ndarray, weights: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Gradients at weights, and at the states own."""
+            x = states[own] @ weights
+            x *= (shares(x, safe) / x.dtype.type(n))[:, None]
+            x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at[own]] -= x.dtype.type(1 / n)
+            return states[own].T @ x, x @ weights[:-1].T
+
+        total = np.zeros_like(every)
+        for own in blocks(n):
+            g, back[own] = slope(own, k, every, safe)
+            total += g
+        grads["o"][:], grads["d"][:] = total[:-1], total[-1]
+        for c, own in classes(codes):
+            g, more = slope(own, slot, slots[c], small[c])
+            grads["s"][c], grads["e"][c] = g[:-1], g[-1]
+            back[own] += more
+        out = np.empty_like(back)
+        out[order] = back
+        return out
 
     def train(self, stream: np.ndarray, rate: float = 0.01) -> None:
         """Truncated backpropagation over windows of parallel streams, by Adam. stream: codes of documents in a row."""
@@ -163,29 +237,45 @@ class Gru:
 
     def gradient(self, h: np.ndarray, x: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean negative log likelihood of x's codes, and the state after."""
-        p, n, keep = self.p, HIDDEN, []
-        states, last = self.states(h, x, keep)
+        p, n, keep, (w, u) = self.p, HIDDEN, [], self.gates()
+        states, last = self.states(h, x, keep, (w, u))
+        all3, gated = keep
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        dout = self.likelihood(states.reshape(-1, n), x.ravel(), grads)[1].reshape(states.shape)
-        dh = np.zeros_like(h)
-        each = np.empty((*x.shape, 3 * n), h.dtype)
-        u1, u2 = np.ascontiguousarray(p["u"][:, : 2 * n].T), np.ascontiguousarray(p["u"][:, 2 * n :].T)
+        order, codes = by_code(x.ravel())
+        dout = self.slopes(states.reshape(-1, n), order, codes, grads).reshape(states.shape)
+        back, each = np.ascontiguousarray(u.transpose(0, 2, 1)), np.empty_like(all3)
+        dh, through, rest, drh = np.zeros_like(h), np.empty((2, *h.shape), h.dtype), np.empty_like(h), np.empty_like(h)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, g = keep[t]
-            dg = dh * z * (1 - g * g)
-            drh = dg @ u2
-            dzr = each[t, :, : 2 * n]
-            dzr[:, :n], dzr[:, n:] = dh * (g - before) * z * (1 - z), drh * before * r * (1 - r)
-            each[t, :, 2 * n :] = dg
-            dh = dh * (1 - z) + drh * r + dzr @ u1 + dout[t]
-        flat, codes = each.reshape(-1, 3 * n), x.ravel()
-        before = states.reshape(-1, n)
-        gated = np.concatenate([r * b for b, _, r, _ in keep])
-        grads["u"][:, : 2 * n], grads["u"][:, 2 * n :] = before.T @ flat[:, : 2 * n], gated.T @ flat[:, 2 * n :]
-        grads["b"] = flat.sum(0)
-        order = np.argsort(codes, kind="stable")
-        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
-        grads["w"][codes[order][starts]] = np.add.reduceat(flat[order], starts)
+            (z, r, g), (dz, dr, dg) = all3[:, t], each[:, t]
+            np.subtract(1, z, out=rest)
+            np.multiply(g, g, out=dg)  # dh * z * (1 - g * g)
+            np.subtract(1, dg, out=dg)
+            dg *= z
+            dg *= dh
+            np.matmul(dg, back[2], out=drh)
+            np.subtract(g, states[t], out=dz)  # dh * (g - before) * z * (1 - z)
+            dz *= z
+            dz *= rest
+            dz *= dh
+            np.subtract(1, r, out=dr)  # drh * before * r * (1 - r)
+            dr *= gated[t]
+            dr *= drh
+            np.matmul(each[:2, t], back[:2], out=through)
+            dh *= rest
+            drh *= r
+            dh += drh
+            dh += through[0]
+            dh += through[1]
+            dh += dout[t]
+        flat, before = each.reshape(3, -1, n), states.reshape(-1, n).T
+        for i, past in enumerate((before, before, gated.reshape(-1, n).T)):
+            own = slice(i * n, (i + 1) * n)
+            grads["u"][:, own] = past @ flat[i]
+        starts = np.flatnonzero(np.diff(codes, prepend=codes[0] + np.uint16(1)))
+        pairs = flat.take(order, 1).view(np.result_type(flat.dtype, 1j))  # two numbers are summed at once
+        sums = np.add.reduceat(pairs, starts, 1).view(flat.dtype)
+        grads["w"].reshape(-1, 3, n)[codes[starts]] = sums.transpose(1, 0, 2)
+        grads["b"][:] = sums.sum(1).ravel()
         return grads, last
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -225,21 +315,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word binary, c long: counts of all tokens of the texts."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: list[pa.Table] = []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            yield from pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"]).combine_chunks().to_batches(max_chunksize=100_000)
 
         for b in batches:
-            for t in b.column(0):
-                held.update(tokens(t.as_py()))
-                if len(held) > 300_000:
-                    yield out()
+            step = max(1, int(b.num_rows * STEP_BYTES / max(1, b.nbytes)))
+            for i in range(0, b.num_rows, step):
+                counts = tokens(b.column(0).slice(i, step).to_pylist())[0].value_counts()
+                held.append(pa.table({"word": counts.field("values"), "c": counts.field("counts")}))
+                if sum(len(t) for t in held) > 1_000_000:
+                    yield from out()
                     held.clear()
         if held:
-            yield out()
+            yield from out()
 
-    return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(given_back(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Codes:
@@ -247,7 +339,9 @@ class Codes:
 
     def __init__(self, endings: list[bytes], frequent: dict[bytes, int]):
         self.of = {e: i for i, e in enumerate(endings)}
-        self.words = {w: i for i, w in enumerate(frequent)}
+        self.words = pa.array(list(frequent), pa.binary())
+        # by a word's last two bytes, its only byte, or none
+        self.ends = np.array([*(self.of.get(bytes(divmod(i, 256)), ENDINGS) for i in range(1 << 16)), *(self.of.get(bytes([i]), ENDINGS) for i in range(256)), ENDINGS + 1], np.uint16)
         counts = np.array(list(frequent.values()), np.int64)
         k = np.array([self.ending(w) for w in frequent], np.int64)
         self.code = k * EACH + SLOTS
@@ -261,18 +355,20 @@ class Codes:
     def ending(self, word: bytes) -> int:
         return self.of.get(word[-2:], ENDINGS) if word else ENDINGS + 1
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Codes of the words, log10 of count + 1 of each (0 for rare words), and the rare words."""
-        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        rare = np.flatnonzero(at < 0)
-        if not len(self.code):
-            return np.array([self.ending(w) * EACH + SLOTS for w in words], np.uint16), np.zeros(len(words)), words
-        codes, logs = self.code[at].astype(np.uint16), self.logs[at]
-        others = [words[i] for i in rare.tolist()]
-        if others:
-            codes[rare] = [self.ending(w) * EACH + SLOTS for w in others]
-            logs[rare] = 0
-        return codes, logs, others
+    def __call__(self, words: pa.BinaryArray | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the words, log10 of count + 1 of each (0 for rare words), and whether each is rare."""
+        words = pa.array(words, pa.binary()) if isinstance(words, list) else words
+        at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy()
+        rare = at < 0
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        data, sizes = np.frombuffer(data or b"", np.uint8), np.diff(offsets)[rare]
+        last, before = (data[np.maximum(offsets[1:][rare] - i, 0)].astype(np.int64) if len(data) else np.zeros(len(sizes), np.int64) for i in (1, 2))
+        end = np.where(sizes > 1, before * 256 + last, np.where(sizes == 1, (1 << 16) + last, (1 << 16) + 256))
+        codes, logs = np.empty(len(words), np.uint16), np.zeros(len(words))
+        codes[~rare], logs[~rare] = self.code[at[~rare]], self.logs[at[~rare]]
+        codes[rare] = self.ends[end] * EACH + SLOTS
+        return codes, logs, rare
 
 
 def most_frequent(vocab: DataFrame) -> dict[bytes, int]:
@@ -319,6 +415,7 @@ def trained(gru: Gru, coded: DataFrame, train_tokens: int) -> Gru:
             def done():
                 own = Gru.__new__(Gru)
                 own.p = {n: v.copy() for n, v in start.p.items()}
+                keep_freed()
                 stream = np.concatenate(held)
                 own.train(stream.astype(np.int64), 0.01 / (1 + k / 2))
                 data = np.r_[own.flat() * len(stream), len(stream)]
@@ -335,7 +432,7 @@ def trained(gru: Gru, coded: DataFrame, train_tokens: int) -> Gru:
                 yield done()
 
         some = dealt.where(F.col("shard") % rounds == k).repartition(-(-shards // rounds), "shard").sortWithinPartitions("shard", "h", "codes")
-        total = summed(some.select("shard", "codes").mapInArrow(fit, "shard int, data binary"))
+        total = summed(some.select("shard", "codes").mapInArrow(given_back(fit), "shard int, data binary"))
         if total is not None:
             after = Gru.__new__(Gru)
             after.p = dict(gru.p)
@@ -350,15 +447,14 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
     out_flag = held_out("doc_id", modulus, remainder)
     vocab = written(word_counts(docs.where(~out_flag)), "lm-words")
     ends = F.expr("substring(word, greatest(1, length(word) - 1), 2)")
-    heads = [bytes(r.e) for r in vocab.where("length(word) > 0").groupBy(ends.alias("e")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "e").limit(ENDINGS).collect()]
-    lookup = F.when(F.length("word") == 0, ENDINGS + 1)
-    for i, e in enumerate(heads):
-        lookup = lookup.when(ends == F.lit(e), i)
-    sums = {r.k: (r.n, r.v) for r in vocab.groupBy(lookup.otherwise(ENDINGS).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    n_k = np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)], float)
-    v_k = np.array([sums.get(k, (0, 0))[1] for k in range(CLASSES)], float)
+    # 65,793 rows at most; that of the end of a text is empty
+    sums = sorted(((bytes(r.e), r.n, r.v) for r in vocab.groupBy(ends.alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()), key=lambda x: (-x[1], x[0]))
+    codes = Codes([e for e, _, _ in sums if e][:ENDINGS], most_frequent(vocab))
+    n_k, v_k = np.zeros(CLASSES), np.zeros(CLASSES)
+    for e, n, v in sums:
+        n_k[codes.ending(e)] += n
+        v_k[codes.ending(e)] += v
     big_n, big_v = int(n_k.sum()), int(v_k.sum())
-    codes = Codes(heads, most_frequent(vocab))
     slots = codes.counts.astype(float)
     rest = n_k - slots.sum(1)
     below = np.log10(rest + v_k - (slots > 0).sum(1) + 1)  # of the rest slots
@@ -370,22 +466,27 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
             self.row = TaskContext.get().partitionId() << 33
 
     def encoded(cols, state):
-        out = [cols[0], cols[2], *[[] for _ in range(8)]]
-        for t in cols[1]:
-            words = tokens(t)
-            own, logs, rare = codes(words)
-            others = own % EACH == SLOTS
-            count = Counter(rare)
-            for c, x in zip(out[2:], (state.row, len(words), len(words) - len(rare), float(logs.sum()), float(logs[others].sum() - below[own[others] // EACH].sum()), list(count), list(count.values()), own.tobytes())):
-                c.append(x)
-            state.row += 1
-        return out
+        words, sizes = tokens(cols[1])
+        words = words.dictionary_encode()
+        at, n = words.indices.to_numpy(), len(sizes)
+        own, logs, rare = (x[at] for x in codes(words.dictionary))  # each different word is looked up once
+        text = np.repeat(np.arange(n), sizes)
+        others = own % EACH == SLOTS
+        rest = np.bincount(text[others], logs[others] - below[own[others] // EACH], n)
+        met, times = np.unique(text[rare] * np.int64(len(words.dictionary)) + at[rare], return_counts=True)
+        each = pa.array(np.concatenate([[0], np.cumsum(np.bincount(met // max(1, len(words.dictionary)), minlength=n))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(each, x) for x in (words.dictionary.take(pa.array(met % max(1, len(words.dictionary)))), pa.array(times, pa.int32()))]
+        ends = np.concatenate([[0], np.cumsum(sizes * own.itemsize)]).astype(np.int32)
+        rows = np.arange(state.row, state.row + n)
+        state.row += n
+        return [cols[0], cols[2], *map(pa.array, (rows, sizes, sizes - np.bincount(text[rare], minlength=n), np.bincount(text, logs, n), rest)), *lists, pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(own)])]
 
     schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, rest double, words array<binary>, counts array<int>, codes binary"
     coded = written(arrow_map(docs.select("doc_id", "text", out_flag.alias("h")), schema, encoded, State), "lm-codes")
     gru = trained(Gru(np.log((n_k + 1) / (n_k + 1).sum()), np.log(slots / slots.sum(1, keepdims=True))), coded, big_n)
 
     def scored(cols):
+        keep_freed()
         return [*cols[:-1], (gru.score([np.frombuffer(c, np.uint16) for c in cols[-1]]) / np.log(10)).tolist()]
 
     model = arrow_map(coded.select("doc_id", "held_out", "row", "n_tokens", "known", "logs", "rest", "codes"), f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, rest double, model double", scored)
