@@ -12,8 +12,8 @@ partitioned. Shards train in up to ROUNDS rounds, each from the mean, by tokens,
 summed in the order of shards. Scoring carries the state across windows: a document's likelihood is that of
 the whole.
 
-Counts of the most frequent words travel with the tasks (FREQUENT entries at most); every other word
-of a document meets its count in a join, so counts are exact at any size of vocabulary.
+Counts of the most frequent words travel with the tasks (FREQUENT entries at most); the occurrences of every
+other word meet in a bucket and are counted there, so counts are exact at any size of vocabulary.
 
 Defined results: a null or empty text is the end token alone; repeated rows each get a score; a null
 doc_id is training data; without training documents every count is 0 and the model is the untrained one;
@@ -23,6 +23,7 @@ other columns are not read.
 from __future__ import annotations
 
 import ctypes
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ ENDINGS, SLOTS, HIDDEN, FREQUENT = 46, 31, 16, 150_000
 CLASSES, EACH = ENDINGS + 2, SLOTS + 1
 #: Steps of a window, streams trained side by side at most, tokens of a shard, rounds at most.
 WINDOW, STREAMS, SHARD, ROUNDS = 20, 512, 2_000_000, 6
+#: Buckets of rare words at least, rows of a block.
+BUCKETS, BLOCK = 256, 1 << 15
 #: Whether a byte stands between words.
 GAP = np.isin(np.arange(256), list(WORD_GAPS))
 
@@ -441,6 +444,94 @@ def trained(gru: Gru, coded: DataFrame, train_tokens: int) -> Gru:
     return gru
 
 
+def flat(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the words, and their bytes in a row."""
+    if not len(words):
+        return np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.diff(offsets), np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def cut(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """The values as one binary for each size."""
+    ends = np.concatenate([[0], np.cumsum(sizes * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def joined(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of all binaries of a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def words_of(lengths: np.ndarray, data: np.ndarray) -> pa.BinaryArray:
+    """The inverse of flat()."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def by_key(batches, made):
+    """made(the rows of a key) of each key of the first column, by which the batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        keys = b.column(0).to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
+        for i, j in zip(bounds, bounds[1:]):
+            if held and keys[i] != last:
+                yield from made(pa.Table.from_batches(held))
+                held = []
+            last = keys[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield from made(pa.Table.from_batches(held))
+
+
+def rare_counts(rare: DataFrame, buckets: int) -> DataFrame:
+    """row long, more long, more_logs double: of the rare words of each row, the occurrences known in training, and the sum of log10 of count + 1.
+
+    rare: row, held_out, and the different words (bytes in a row, lengths) with their times. Words are dealt to buckets
+    by a hash, a few rows of many words each; in a bucket a word's count is the sum of its times in training rows. What
+    is found goes back by blocks of BLOCK rows in the same manner.
+    """
+    kind = "bucket long, row binary, held binary, words binary, lengths binary, times binary"
+    names = ["row", "held", "lengths", "times"]
+
+    def deal(batches):
+        for b in batches:
+            c = {n: b.column(i) for i, n in enumerate(("row", "held_out", "words", "lengths", "times"))}
+            lengths = joined(c["lengths"], np.int32)
+            each = np.array([len(x) // 4 for x in c["lengths"].to_pylist()], np.int64)
+            words = words_of(lengths, joined(c["words"], np.uint8))
+            bucket = np.fromiter(map(crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            sizes = np.bincount(bucket, minlength=buckets)
+            used = np.flatnonzero(sizes)
+            values = {"row": np.repeat(c["row"].to_numpy(), each), "held": np.repeat(c["held_out"].to_numpy(zero_copy_only=False), each).astype(np.uint8), "lengths": lengths, "times": joined(c["times"], np.int32)}
+            out = {n: cut(v[order], sizes[used]) for n, v in values.items()}
+            ordered, data = flat(words.take(pa.array(order)))
+            ends = np.cumsum(ordered)[np.cumsum(sizes[used]) - 1] if len(used) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), out["row"], out["held"], cut(data, np.diff(ends, prepend=0)), out["lengths"], out["times"]], names=["bucket", "row", "held", "words", "lengths", "times"])
+
+    def count(t: pa.Table):
+        row, held, lengths, times = (joined(t[n], k) for n, k in zip(names, (np.int64, np.uint8, np.int32, np.int32)))
+        words = words_of(lengths, joined(t["words"], np.uint8)).dictionary_encode()
+        at = words.indices.to_numpy()
+        c = np.bincount(at, times * (held == 0), len(words.dictionary))[at]  # below 2**53, so exact
+        order = np.argsort(row // BLOCK, kind="stable")
+        blocks, sizes = np.unique(row[order] // BLOCK, return_counts=True)
+        found = (row, np.where(c > 0, times, 0).astype(np.int32), times * np.log10(c + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks), *(cut(x[order], sizes) for x in found)], names=["block", "row", "more", "logs"])
+
+    def total(t: pa.Table):
+        row, more, logs = (joined(t[n], k) for n, k in zip(("row", "more", "logs"), (np.int64, np.int32, np.float64)))
+        rows, at = np.unique(row, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, more).astype(np.int64)), pa.array(np.bincount(at, logs))], names=["row", "more", "more_logs"])
+
+    dealt = rare.where("octet_length(lengths) > 0").mapInArrow(given_back(deal), kind).repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(given_back(lambda batches: by_key(batches, count)), "block long, row binary, more binary, logs binary")
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(given_back(lambda batches: by_key(batches, total)), "row long, more long, more_logs double")
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -474,14 +565,15 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
         others = own % EACH == SLOTS
         rest = np.bincount(text[others], logs[others] - below[own[others] // EACH], n)
         met, times = np.unique(text[rare] * np.int64(len(words.dictionary)) + at[rare], return_counts=True)
-        each = pa.array(np.concatenate([[0], np.cumsum(np.bincount(met // max(1, len(words.dictionary)), minlength=n))]), pa.int32())
-        lists = [pa.ListArray.from_arrays(each, x) for x in (words.dictionary.take(pa.array(met % max(1, len(words.dictionary)))), pa.array(times, pa.int32()))]
-        ends = np.concatenate([[0], np.cumsum(sizes * own.itemsize)]).astype(np.int32)
+        texts, different = np.divmod(met, max(1, len(words.dictionary)))
+        each = np.bincount(texts, minlength=n)
+        lengths, bytes_ = flat(words.dictionary.take(pa.array(different)))
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(each)])]
         rows = np.arange(state.row, state.row + n)
         state.row += n
-        return [cols[0], cols[2], *map(pa.array, (rows, sizes, sizes - np.bincount(text[rare], minlength=n), np.bincount(text, logs, n), rest)), *lists, pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(own)])]
+        return [cols[0], cols[2], *map(pa.array, (rows, sizes, sizes - np.bincount(text[rare], minlength=n), np.bincount(text, logs, n), rest)), cut(bytes_, np.diff(ends)), cut(lengths, each), cut(times.astype(np.int32), each), cut(own, sizes)]
 
-    schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, rest double, words array<binary>, counts array<int>, codes binary"
+    schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, rest double, words binary, lengths binary, times binary, codes binary"
     coded = written(arrow_map(docs.select("doc_id", "text", out_flag.alias("h")), schema, encoded, State), "lm-codes")
     gru = trained(Gru(np.log((n_k + 1) / (n_k + 1).sum()), np.log(slots / slots.sum(1, keepdims=True))), coded, big_n)
 
@@ -490,8 +582,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
         return [*cols[:-1], (gru.score([np.frombuffer(c, np.uint16) for c in cols[-1]]) / np.log(10)).tolist()]
 
     model = arrow_map(coded.select("doc_id", "held_out", "row", "n_tokens", "known", "logs", "rest", "codes"), f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, logs double, rest double, model double", scored)
-    rare = coded.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    met = rare.join(vocab.hint("merge"), "word").groupBy("row").agg(F.sum("times").cast("long").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    met = rare_counts(coded.select("row", "held_out", "words", "lengths", "times"), max(BUCKETS, big_n // SHARD))
     whole = model.join(met.hint("merge"), "row", "left")
     more = F.coalesce("more_logs", F.lit(0.0))
     return whole.select(

@@ -1,6 +1,7 @@
 import ctypes
 import re
 import resource
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,7 +40,7 @@ def test_each_different_word_of_a_batch_is_looked_up_once(spark, monkeypatch):
     rows, plain_map = [], lm.arrow_map
 
     def mapped(df, schema, each, state=None, carry=()):
-        if "words array" in schema:  # the encoding pass, here on this side
+        if "codes binary" in schema:  # the encoding pass, here on this side
             made = each([[i for i in range(20)], ["to be or not to be new" for _ in range(20)], [False] * 20], type("S", (), {"row": 7})())
             rows.append([x.to_pylist() if hasattr(x, "to_pylist") else x for x in made])
         return plain_map(df, schema, each, state, carry)
@@ -52,7 +53,36 @@ def test_each_different_word_of_a_batch_is_looked_up_once(spark, monkeypatch):
     assert calls == [6]  # to, be, or, not, new and the end
     made = rows[0]
     assert made[2] == list(range(7, 27)) and made[3] == [8] * 20 and made[4] == [7] * 20
-    assert made[7] == [[b"new"]] * 20 and made[8] == [[1]] * 20 and all(len(c) == 16 for c in made[9])
+    assert made[7] == [b"new"] * 20 and made[8] == [b"\3\0\0\0"] * 20 and made[9] == [b"\1\0\0\0"] * 20 and all(len(c) == 16 for c in made[10])
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 300])
+def test_rare_words_are_counted_where_they_meet(spark, monkeypatch, buckets):
+    monkeypatch.setattr(lm, "BLOCK", 4)
+    r = np.random.default_rng(buckets)
+    texts = [Counter({w: int(r.integers(1, 9)) for w in {b"x" * int(n) + b"%d" % k for n, k in r.integers(0, 12, (m, 2))} | {b""}} if m else {}) for m in r.integers(0, 15, 60)]
+    held = [i % 5 == 0 for i in range(60)]
+    pack = lambda x: np.array(list(x), np.int32).tobytes()
+    rows = [((i % 3 << 33) + i, held[i], b"".join(t), pack(map(len, t)), pack(t.values())) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "row long, held_out boolean, words binary, lengths binary, times binary").repartition(3)
+    count = sum((t for t, out in zip(texts, held) if not out), Counter())
+    got = {x.row: x for x in lm.rare_counts(table, buckets).collect()}
+    assert set(got) == {row[0] for row, t in zip(rows, texts) if t}
+    for row, t in zip(rows, texts):
+        if t:
+            assert got[row[0]].more == sum(n for w, n in t.items() if count[w])
+            assert np.isclose(got[row[0]].more_logs, sum(n * np.log10(count[w] + 1) for w, n in t.items()))
+    assert lm.rare_counts(table.where("row < 0"), buckets).count() == 0
+
+
+def test_rare_words_move_in_few_rows(spark, sf, monkeypatch):
+    moved, plain_counts = [], lm.rare_counts
+    monkeypatch.setattr(lm, "FREQUENT", 300)
+    monkeypatch.setattr(lm, "rare_counts", lambda rare, buckets: (moved.append(rare), plain_counts(rare, buckets))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = lm.lm_scores(docs)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "lm-words" not in plan  # no row for each occurrence, no join with the vocabulary
+    assert len(moved) == 1 and moved[0].count() == docs.count()
 
 
 def test_sigmoid_of_large_numbers_does_not_overflow():
