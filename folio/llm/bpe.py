@@ -14,10 +14,12 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,10 @@ ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
+#: Letters of texts that are encoded at once, if it is more than one text.
+AT_ONCE = 1_000_000
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable bytes stand for themselves, the others for 256 and up."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -43,7 +49,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder for a tokenizers file of kind BPE with the word end </w>."""
 
-    def __init__(self, path: str, cache_words: int = 700_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -71,7 +77,9 @@ class WordBpe:
         self.ordered = bool((np.arange(len(left)) > np.maximum(latest[left], latest[right])).all())
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.cache_words, self.cache, self.texts = cache_words, {}, None
+        # known chunks and their ids lie in flat arrays, about 40 bytes a chunk, not as objects; cache holds new ones only until they are known
+        self.cache_words, self.cache = cache_words, {}
+        self.known, self.ids, self.bounds, self.met = pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many non-empty words in one flat array, and the bounds of each word in it."""
@@ -140,7 +148,7 @@ class WordBpe:
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Put the chunks' ids (in the narrow type) and decoded texts in the cache."""
+        """Put the chunks' ids (in the narrow type) in the cache."""
         short: dict = {}
         for ascii_only, find in ((True, ASCII_PIECES.findall), (False, None)):
             own = [c for c in chunks if c.isascii() == ascii_only and "<|" not in c]
@@ -155,53 +163,89 @@ class WordBpe:
         of = {p: raw[at[i] : at[i + 1]] for i, p in enumerate(todo)}
         of |= {i: np.array([i], self.kind).tobytes() for i in self.special.values()}
         for c, ps in zip(chunks, cut):
-            self.cache[c] = ids = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
-            if self.texts is not None:
-                self.texts[c] = self.decode(np.frombuffer(ids, self.kind))
+            self.cache[c] = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space. No word crosses it, nor does composition."""
         return [c for c in SPACES.split(text) if c] if any(c in text for c in ODD_SPACES) else text.split()
 
-    def look_up(self, texts: list[str | None]) -> tuple[list[list[str]], list[bytes]]:
-        """Each text's chunks and ids in the narrow type."""
+    def remember(self, chunks: pa.Array) -> None:
+        """Chunks that are not known yet follow the known ones."""
+        for i in range(0, len(chunks), 20_000):
+            part = chunks.slice(i, 20_000).to_pylist()
+            self.learn(part)
+            raw = [self.cache[c] for c in part]
+            self.cache.clear()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.ids.itemsize
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), self.kind)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.met = np.concatenate([self.met, np.zeros(len(chunks), bool)])
+
+    def forget(self) -> None:
+        """Chunks that were not met again since this was last done go; most occur once."""
+        at = np.flatnonzero(self.met)
+        first, many = self.bounds[at], np.diff(self.bounds)[at]
+        self.known, self.ids = self.known.take(pa.array(at)), self.ids[spread(first, many)]
+        self.bounds, self.met = np.concatenate([[0], np.cumsum(many)]), np.zeros(len(at), bool)
+
+    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in the narrow type in one flat array, and the bounds of each text in it."""
+        if len(self.known) > self.cache_words:
+            self.forget()
         cut = [self.chunks(t or "") for t in texts]
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
-            if self.texts is not None:
-                self.texts.clear()
+        sizes = np.cumsum([0, *map(len, cut)])
         # each different chunk of these texts is looked up once
         coded = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
-        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        new = [c for c in names if c not in cache]
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i : i + 20_000])
-        own = [cache[c] for c in names]
-        flat, width = np.frombuffer(b"".join(own), self.kind), np.dtype(self.kind).itemsize
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // width
-        first, many = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        ends = np.cumsum(many)
-        raw = flat[np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        bounds = (np.r_[0, ends][np.cumsum([0, *map(len, cut)])] * width).tolist()
-        return cut, [raw[s:e] for s, e in zip(bounds, bounds[1:])]
+        del cut
+        place = pc.index_in(coded.dictionary, self.known)
+        new, place = place.is_null().to_numpy(zero_copy_only=False), place.fill_null(-1).to_numpy().astype(np.int64)
+        self.met[place[~new]] = True
+        place[new] = len(self.known) + np.arange(np.count_nonzero(new))
+        self.remember(coded.dictionary.filter(pa.array(new)))
+        place = place[coded.indices.to_numpy()]
+        first, many = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
+        return self.ids[spread(first, many)], np.concatenate([[0], np.cumsum(many)])[sizes]
+
+    @staticmethod
+    def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+        """The texts in order, some at a time: what is made of them is a multiple of their size."""
+        some, size = [], 0
+        for t in texts:
+            if some and size + len(t or "") > AT_ONCE:
+                yield some
+                some, size = [], 0
+            some.append(t)
+            size += len(t or "")
+        if some:
+            yield some
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids in the type `kind`: little-endian, unsigned, 16 bits if the vocabulary allows, else 32."""
-        return self.look_up(texts)[1]
+        out = []
+        for ids, at in map(self.look_up, self.groups(texts)):
+            raw, at = ids.tobytes(), (at * ids.itemsize).tolist()
+            out += [raw[s:e] for s, e in zip(at, at[1:])]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Token texts joined by a space, as the vocabulary has no decoder of its own."""
         return " ".join([self.names[i] for i in ids.tolist()])
 
     def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """Ids (little-endian unsigned 32-bit) and decoded text. The text is joined from those of the words: what decode(ids) gives."""
-        if self.texts is None:
-            self.texts = {}
-            self.cache.clear()
-        cut, ids = self.look_up(texts)
-        of = self.texts.__getitem__
-        return [(np.frombuffer(x, self.kind).astype("<u4").tobytes(), " ".join(map(of, cs))) for cs, x in zip(cut, ids)]
+        """Ids (little-endian unsigned 32-bit) and decoded text, which is what decode(ids) gives."""
+        names, out = pa.array(self.names, pa.large_string()), []
+        for ids, at in map(self.look_up, self.groups(texts)):
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), names.take(pa.array(ids))), pa.scalar(" ", pa.large_string())).to_pylist()
+            raw, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
+            out += [(raw[s:e], x) for s, e, x in zip(at, at[1:], decoded)]
+        return out
+
+
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of many places each."""
+    ends = np.cumsum(many)
+    return np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:

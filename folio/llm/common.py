@@ -34,16 +34,23 @@ def new_path(spark: SparkSession, label: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a batch that the JVM and a worker each hold whole.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors cost no more than their own tasks."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    kept = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    ours = {CLEAN_UP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    kept = {k: spark.conf.get(k, "false" if k == CLEAN_UP else "10000") for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, kept)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

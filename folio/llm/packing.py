@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def packed(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048) -> DataFrame:
     """The pieces of all documents; columns doc_id and those of PIECE."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = written(tokenized(docs, path, end_id), "tokens")
+    ids = written(tokenized(docs, path, end_id), "tokens", batch_rows=1000)
     totals = sorted(ids.groupBy("part").sum("n").collect())
     base, sofar = {}, 0
     for part, n in totals:
